@@ -6,6 +6,11 @@ share to its deficit and serves that many whole tokens, and what a window cannot
 to the next. What is left of a window goes to the sources that are owed most, so windows are
 always full and only the last one of a partition is padded. Partition k starts with the
 fractions that k windows would have left, so rounding does not repeat in every partition.
+
+Where the target is the corpus' own mixture, a source's share of a window is what its queue
+holds of all that waits: queues then run out together, and no window late in a partition lacks
+a source because long documents dealt it less than its part. Shares given as a target hold as
+long as a source's queue lasts.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from ._common import Written, text_of
 WINDOW = 2048
 END_ID = 1
 SEED = 20
-#: Windows' worth of tokens that wait in the queues before the first is filled.
-AHEAD = 128
+#: Windows' worth of tokens that may wait in the queues (two bytes a token where ids allow): 32 MB.
+AHEAD = 8192
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -70,7 +75,8 @@ def _odd(text: str) -> bool:
 class Scheduler:
     """Queues of one partition; ``fill`` takes windows from them."""
 
-    def __init__(self, partition: int, window: int = WINDOW):
+    def __init__(self, partition: int, window: int = WINDOW, own_mixture: bool = False):
+        self.own_mixture = own_mixture
         self.window, self.partition, self.sequence, self.waiting, self.turn = window, partition, 0, 0, 0
         self.queues: dict = {}
         self.share: dict = {}
@@ -95,7 +101,7 @@ class Scheduler:
             head = queue[0]
             doc_id, ids, at = head
             k = min(n, len(ids) - at)
-            self.out.append((doc_id, at, k, zlib.crc32(ids[at : at + k]), len(ids), name, offset, source))
+            self.out.append((doc_id, at, k, zlib.crc32(ids[at : at + k].astype("<u4")), len(ids), name, offset, source))
             offset += k
             n -= k
             if at + k == len(ids):
@@ -108,7 +114,7 @@ class Scheduler:
         """One window: every source's share first, then the sources that are owed most."""
         names, offset = list(self.queues), 0
         for source in names:
-            self.owed[source] += self.share[source]
+            self.owed[source] += self.window * self.ready[source] / self.waiting if self.own_mixture else self.share[source]
         self.turn = (self.turn + 1) % len(names)
         for source in names[self.turn :] + names[: self.turn]:
             n = min(int(self.owed[source]), self.ready[source], self.window - offset)
@@ -144,6 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, target: DataFrame | None = None,
     empty and has its end id only; a null source is a source; repeated rows are packed each;
     an empty table has no pieces. A source without a share is served last.
     """
+    own = target is None
     target = Written(mixture(docs, text_col, source_col) if target is None else target).df
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     shares = target.select(F.col("source").alias("of"), F.col("share").cast("double").alias("share"))
@@ -155,12 +162,13 @@ def pack(docs: DataFrame, tokenizer_path: str, target: DataFrame | None = None,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Scheduler(TaskContext.get().partitionId())
+        one = Scheduler(TaskContext.get().partitionId(), own_mixture=own)
         for batch in batches:
             for doc_id, text, source, share in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                one.add(doc_id, source, share, np.append(token_ids(text, tokenizer_path), np.uint32(END_ID)).astype("<u4", copy=False))
-                if one.waiting >= 2 * AHEAD * WINDOW:
-                    while one.waiting >= AHEAD * WINDOW:
+                ids = np.append(token_ids(text, tokenizer_path), np.uint32(END_ID))
+                one.add(doc_id, source, share, ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4"))
+                if one.waiting >= AHEAD * WINDOW:
+                    while one.waiting >= AHEAD * WINDOW // 2:
                         one.fill()
                     yield one.pieces()
         while one.waiting:
