@@ -17,8 +17,9 @@ from ._common import Written, text_of
 
 SHARDS = 24
 SEED = 11
-#: Rows that a bucket holds on average.
-BUCKET_ROWS = 4096
+#: Rows that a bucket holds on average, while there are fewer than MAX_BUCKETS; the table of
+#: bucket counts, which one task sums up, never has more rows than that (a source).
+BUCKET_ROWS, MAX_BUCKETS = 512, 1 << 16
 
 
 def _offsets(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:
@@ -46,7 +47,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     ).withColumn("deal", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
     rows = Written(narrow).df
     n = rows.count()
-    buckets = max(1, n // BUCKET_ROWS)
+    buckets = max(1, min(n // BUCKET_ROWS, MAX_BUCKETS))
     # rank within the source, in the seeded order; rows alike in content are told apart by the deal
     stratum = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     rows = rows.withColumn("stratum", stratum).withColumn("bucket", F.pmod(F.xxhash64("order", "deal"), F.lit(buckets)))
