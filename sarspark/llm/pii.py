@@ -199,7 +199,7 @@ def fit(found: DataFrame, col: str = "pii") -> Model:
     model = Model()
     for k in range(len(KINDS)):
         patterns = sorted((tuple(r[n] for n in LABELERS), r["count"]) for r in seen if r["kind"] == k)
-        model.votes.append(estimate(list(LABELERS), patterns))
+        model.votes.append(estimate(list(LABELERS), patterns, silent=("regex",)))  # loose candidates lack it by definition
     features = ("f_shape", "f_word", "f_size")
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col("s")[f].alias("v")) for f in features])).alias("x")
     scored = each.select(F.col("s.kind").alias("kind"), model.posterior(F.col("s")).alias("p"), pairs)
@@ -210,7 +210,9 @@ def fit(found: DataFrame, col: str = "pii") -> Model:
         yes, no = (sum(r[c] for r in rows) / len(features) + 1.0 for c in ("real", "not"))
         model.bias.append(math.log(yes / no))
         for r in rows:
-            model.table[r["f"]][k * BUCKETS + r["v"]] = math.log((r["real"] + 0.5) / (yes + 0.5)) - math.log((r["not"] + 0.5) / (no + 0.5))
+            # counts are smoothed towards the kind's own odds, so a rare feature says little
+            odds = (r["real"] + yes / (yes + no)) / (r["not"] + no / (yes + no))
+            model.table[r["f"]][k * BUCKETS + r["v"]] = math.log(odds) - model.bias[k]
     return model
 
 
@@ -232,7 +234,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of strict spans by kind, the hash of their list, and all spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
 
 

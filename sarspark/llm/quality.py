@@ -140,7 +140,7 @@ class Model:
         return total
 
 
-def estimate(names: list[str], patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> Model:
+def estimate(names: list[str], patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, silent: tuple[str, ...] = ()) -> Model:
     """EM over vote patterns and their counts; no pattern gives an evenly weighted vote.
 
     A class votes on each rule independently, with two priors: a thousandth of all rows is added
@@ -167,6 +167,7 @@ def estimate(names: list[str], patterns: list[tuple[tuple[int, ...], int]], roun
             table[y] /= table[y].sum(1, keepdims=True)
         ratio = np.log(table[1] / table[0])
         ratio[:, 0], ratio[:, 2] = np.minimum(ratio[:, 0], 0), np.maximum(ratio[:, 2], 0)
+        ratio[[n in silent for n in names], 1] = 0
         odds = math.log(share / (1 - share)) + sum(ratio[j][votes[:, j] + 1] for j in range(len(names)))
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - good).max() < 1e-6:
