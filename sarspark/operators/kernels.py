@@ -39,15 +39,21 @@ def upsample2(z: np.ndarray) -> np.ndarray:
     return 2 * np.fft.ifft(wide, axis=-1)[..., : 2 * n]
 
 
+#: Lines that one group of the transform holds.
+LINES = 64
+
+
 def _upsampled(px: DataFrame, line: str, along: str) -> DataFrame:
-    """Each line of (re, im) upsampled by two; ``along`` then counts half samples."""
+    """Each line of (re, im) upsampled by two; ``along`` then counts half samples. Lines go by blocks of LINES."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(along)
-        z = upsample2(g["re"].to_numpy() + 1j * g["im"].to_numpy())
-        return pd.DataFrame({line: g[line].iloc[0], along: np.arange(len(z)), "re": z.real, "im": z.imag})
+        ids, at = np.unique(g[line].to_numpy(), return_inverse=True)
+        z = np.zeros((len(ids), int(g[along].max()) + 1), complex)
+        z[at, g[along].to_numpy()] = g["re"].to_numpy() + 1j * g["im"].to_numpy()
+        z = upsample2(z)
+        return pd.DataFrame({line: np.repeat(ids, z.shape[1]), along: np.tile(np.arange(z.shape[1]), len(ids)), "re": z.real.ravel(), "im": z.imag.ravel()})
 
-    return px.select(line, along, "re", "im").groupBy(line).applyInPandas(run, f"{line} long, {along} long, re double, im double")
+    return px.select(line, along, "re", "im").groupBy(F.expr(f"{line} div {LINES}")).applyInPandas(run, f"{line} long, {along} long, re double, im double")
 
 
 def antialiased(a: DataFrame, b: DataFrame, both_axes: bool = False) -> DataFrame:
