@@ -273,3 +273,60 @@ def unwrap(igram: DataFrame, min_coherence: float = 0.0) -> DataFrame:
     return igram.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "r long, c long, unw double, conncomp long")
 
 
+
+
+def multilook_coherence(a: DataFrame, b: DataFrame, ly: int, lx: int, ny: int, nx: int, antialias: str | None = None) -> DataFrame:
+    """(lr, lc, re, im, coh) with the numerator from antialiased products (``range`` or ``2d``).
+
+    The powers below are not filtered, so the value may exceed one; it is not clipped.
+    """
+    from .sar import interferogram, multilook, safe_div
+    from .sar import multilook_coherence as plain
+
+    if antialias in (None, "none"):
+        return plain(a, b, ly, lx, ny, nx)
+    top = multilook(antialiased(a, b, antialias == "2d"), ["re", "im"], ly, lx, ny, nx)
+    powers = interferogram(a, b).select("r", "c", F.expr("re1*re1 + im1*im1").alias("p1"), F.expr("re2*re2 + im2*im2").alias("p2"))
+    both = top.join(multilook(powers, ["p1", "p2"], ly, lx, ny, nx), ["lr", "lc"])
+    return both.select("lr", "lc", "re", "im", safe_div(F.sqrt(F.expr("re*re + im*im")), F.sqrt(F.expr("p1*p2"))).alias("coh"))
+
+
+def coherence_tiled(a: DataFrame, b: DataFrame, weights: list[float], ny: int, nx: int, tile: int = 256) -> DataFrame:
+    """(r, c, coh), as the window form gives, in one shuffle of tiles with their halo; for large scenes.
+
+    The join is by pixel, the halo is copied, and each tile is smoothed alone; a tile at the
+    scene's edge reflects its own samples, so it must be at least as wide as half the window.
+    """
+    from .sar import interferogram
+
+    h = len(weights) // 2
+    if tile < h:
+        raise ValueError("a tile must hold half a window")
+    w = np.array(weights)
+    last_r, last_c = (ny - 1) // tile, (nx - 1) // tile
+    spread = lambda c, last: F.sequence(F.expr(f"greatest({c} - {h}, 0L) div {tile}"), F.least(F.expr(f"({c} + {h}) div {tile}"), F.lit(last).cast("long")))
+    x = interferogram(a, b).select("r", "c", "re", "im", F.expr("re1*re1 + im1*im1").alias("p1"), F.expr("re2*re2 + im2*im2").alias("p2"))
+    copied = x.withColumn("ty", F.explode(spread("r", last_r))).withColumn("tx", F.explode(spread("c", last_c)))
+
+    def smooth(z: np.ndarray, axis: int, lo: int, hi: int, n: int) -> np.ndarray:
+        """Lines [lo, hi) of the scene along an axis, from a tile that starts h before lo where the scene does."""
+        before, after = max(h - lo, 0), max(hi + h - n, 0)
+        z = np.pad(z, [(before, after) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
+        return sum(v * np.take(z, range(k, k + hi - lo), axis) for k, v in enumerate(w))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(g["ty"].iloc[0]) * tile, int(g["tx"].iloc[0]) * tile
+        r1, c1 = min(r0 + tile, ny), min(c0 + tile, nx)
+        ra, ca = max(r0 - h, 0), max(c0 - h, 0)
+        out = []
+        for name in ("re", "im", "p1", "p2"):
+            z = np.zeros((min(r1 + h, ny) - ra, min(c1 + h, nx) - ca))
+            z[g["r"] - ra, g["c"] - ca] = g[name]
+            out.append(smooth(smooth(z, 0, r0, r1, ny), 1, c0, c1, nx))
+        re, im, p1, p2 = out
+        under = np.sqrt(p1 * p2)
+        coh = np.divide(np.hypot(re, im), under, out=np.zeros_like(under), where=under > 0)
+        rr, cc = np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij")
+        return pd.DataFrame({"r": rr.ravel(), "c": cc.ravel(), "coh": np.clip(coh, 0, 1).ravel()})
+
+    return copied.groupBy("ty", "tx").applyInPandas(run, "r long, c long, coh double")

@@ -90,6 +90,13 @@ def coherence_gaussian(spark: S, d: str) -> DataFrame:
     return sar.coherence(fx.slc(spark, d, 0), fx.slc(spark, d, 1), sar.gaussian(1.0), *_size(spark, d)).select("r", "c", r6("coh"))
 
 
+@query(_window_sql(2, "0.04::DOUBLE"))
+def coherence_tiled(spark: S, d: str) -> DataFrame:
+    """The same by tiles with their halo, the form for large scenes."""
+    importable(spark)
+    return kernels.coherence_tiled(fx.slc(spark, d, 0), fx.slc(spark, d, 1), sar.boxcar(5), *_size(spark, d), 64).select("r", "c", r6("coh"))
+
+
 def _kernel_sql(name: str, n: str) -> str:
     """Upsampling by two of a line of n samples as a matrix over (q, s)."""
     theta = f"(2*pi()*f*(q/2e0 - s)/{n})"
@@ -109,7 +116,10 @@ def interferogram_aa_range(spark: S, d: str) -> DataFrame:
     return kernels.antialiased(fx.slc(spark, d, 0), fx.slc(spark, d, 1)).select("r", "c", r6("re"), r6("im"))
 
 
-@query()
+_K2 = [_kernel_sql("k", "32"), _kernel_sql("kk", "250"), *[_up(f"u{x}", x, "k", "r", "c") for x in "ab"], *[_up(f"w{x}", f"u{x}", "kk", "c", "r") for x in "ab"]]
+
+
+@query(with_sql("a b", "SELECT 1").replace(" SELECT 1", "") + ", " + ", ".join(_K2) + " " + _AA.format(r="r // 2", x="wa", y="wb"))  # 250 lines at the oracle's sizes
 def interferogram_aa_2d(spark: S, d: str) -> DataFrame:
     importable(spark)
     return kernels.antialiased(fx.slc(spark, d, 0), fx.slc(spark, d, 1), both_axes=True).select("r", "c", r6("re"), r6("im"))

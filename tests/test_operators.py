@@ -199,3 +199,21 @@ def test_masks(spark):
     df = spark.createDataFrame([(m,) for m in (0, 1, 10, 11, 111, 255)], "m int")
     assert [r.v for r in df.select(sar.gunw_valid(F.col("m")).alias("v")).collect()] == [False, False, False, True, True, False]
     assert [r.v for r in df.select(sar.slc_valid(F.col("m")).alias("v")).collect()] == [False, True, True, True, True, False]
+
+
+@pytest.mark.parametrize(("weights", "tile"), [(sar.boxcar(5), 5), (sar.gaussian(1.0), 4), (sar.boxcar(3), 64)])
+def test_tiled_coherence_is_the_windowed_one(spark, noise, weights, tile):
+    a, b = (pixels(spark, z) for z in noise)
+    want = image(sar.coherence(a, b, weights, 12, 16), (12, 16), "coh")
+    assert np.allclose(image(kernels.coherence_tiled(a, b, weights, 12, 16, tile), (12, 16), "coh"), want)
+    with pytest.raises(ValueError):
+        kernels.coherence_tiled(a, b, sar.boxcar(9), 12, 16, 3)
+
+
+def test_antialiased_coherence(spark, noise):
+    a, b = (pixels(spark, z) for z in noise)
+    z = image(kernels.antialiased(a, b, True), (12, 16), "re", "im").reshape(3, 4, 4, 4).mean((1, 3))
+    p = [(np.abs(x) ** 2).reshape(3, 4, 4, 4).mean((1, 3)) for x in noise]
+    got = {(r.lr, r.lc): r.coh for r in kernels.multilook_coherence(a, b, 4, 4, 12, 16, "2d").collect()}
+    assert all(np.isclose(got[i, j], abs(z[i, j]) / np.sqrt(p[0][i, j] * p[1][i, j])) for i in range(3) for j in range(4))
+    assert kernels.multilook_coherence(a, b, 4, 4, 12, 16).count() == 12
