@@ -10,6 +10,7 @@ scripts, styles and reader comments are no content and are taken out before.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -75,12 +76,21 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.open: Counter = Counter()  # open elements by tag, so that nothing climbs for what is not open
+
+    def _leave(self, node: Node) -> None:
+        """Close the open elements up to and with ``node``."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags: frozenset | set, scopes: frozenset) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node is not self.root and node.tag not in scopes:
             if node.tag in tags:
-                self.at = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
@@ -96,25 +106,28 @@ class Tree(HTMLParser):
                 before = self.at
                 self._close(SAME_CLOSERS[tag], stop)
         if tag in HEADINGS and self.at.tag in HEADINGS:
-            self.at = self.at.parent
+            self._leave(self.at)
         node = Node(tag, self.at, _noisy(tag, attrs, self.at))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in ("html", "body") and self.at.tag == tag:
-            self.at = self.at.parent
+            self._leave(self.at)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         node = self.at
         while node is not self.root and node.tag != tag:
             if node.tag in CONTENT and tag in INLINE:
                 return
             node = node.parent
         if node is not self.root:
-            self.at = node.parent
+            self._leave(node)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)

@@ -69,7 +69,7 @@ def token_ids(text: str, path: str) -> np.ndarray:
 
 def _odd(text: str) -> bool:
     """Whether ``text`` has white space on which the two libraries' patterns might differ."""
-    return any(c in text for c in "\x85᠎  ﻿")
+    return any(c in text for c in "\x85\u180e\u2028\u2029\ufeff")
 
 
 class Scheduler:
