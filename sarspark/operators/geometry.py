@@ -98,3 +98,10 @@ def incidence(nx: Column, ny: Column, nz: Column, lx: Column, ly: Column, lz: Co
     """The angle between normal and line of sight in degrees."""
     dot = nx * lx + ny * ly + nz * lz
     return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot))))
+
+
+def axes_match(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> bool:
+    """Whether two axes (idx, coord) have the same indices and coordinates within a relative tolerance; one aggregate."""
+    y = b.select("idx", F.col("coord").alias("other"))
+    off = F.col("coord").isNull() | F.col("other").isNull() | (F.abs(F.col("coord") - F.col("other")) > F.abs(F.col("other")) * tolerance)
+    return a.join(y, "idx", "full").agg(F.count_if(off).alias("n")).first()["n"] == 0

@@ -90,3 +90,14 @@ def format_bytes(n: Column) -> Column:
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
         out = F.when(n < float(1 << (10 * (k + 1))), F.format_string(f"%.1f {unit}", n / float(1 << (10 * k)))).otherwise(out)
     return out
+
+
+def stack_pixels(px: DataFrame, plan: DataFrame) -> DataFrame:
+    """Pixels (path, r, c, ...) of planned acquisitions with their t_idx and start; raises if the plan has a problem.
+
+    The plan has a row per file, so its written or cached size decides whether it is broadcast.
+    """
+    bad = plan.where(F.col("problem").isNotNull()).select("path", "problem").first()
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: {bad['problem']}")
+    return px.join(plan.select("path", "t_idx", "start"), "path")

@@ -217,3 +217,9 @@ def test_antialiased_coherence(spark, noise):
     got = {(r.lr, r.lc): r.coh for r in kernels.multilook_coherence(a, b, 4, 4, 12, 16, "2d").collect()}
     assert all(np.isclose(got[i, j], abs(z[i, j]) / np.sqrt(p[0][i, j] * p[1][i, j])) for i in range(3) for j in range(4))
     assert kernels.multilook_coherence(a, b, 4, 4, 12, 16).count() == 12
+
+
+def test_axes_match(spark):
+    axis = spark.createDataFrame([(0, 500000.0), (1, 500030.0)], "idx long, coord double")
+    near = axis.withColumn("coord", F.col("coord") * (1 + 1e-10))
+    assert geometry.axes_match(axis, near) and not geometry.axes_match(axis, axis.withColumn("coord", F.col("coord") + 1)) and not geometry.axes_match(axis, axis.limit(1))

@@ -130,3 +130,50 @@ def test_command_line(spark, px, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 600
     with pytest.raises(SystemExit):
         cli.main(["info", str(tmp_path / "px"), "--window", "90", "91", "0", "1"])
+
+
+def test_stacks(spark):
+    px = spark.createDataFrame([("b", 0, 0, 1.0), ("a", 0, 0, 2.0), ("z", 0, 0, 3.0)], "path string, r long, c long, re double")
+    entries = spark.sql("select * from values ('a', timestamp_ntz '2025-01-13', 1, 2, 0), ('b', timestamp_ntz '2025-01-01', 1, 2, 0), ('b', timestamp_ntz '2025-01-01', 1, 2, 0) as t(path, start, track, frame, group)")
+    got = {r.path: r.t_idx for r in catalog.stack_pixels(px, catalog.stack_plan(entries)).collect()}
+    assert got == {"b": 0, "a": 1}
+    twice = entries.union(spark.sql("select 'c', timestamp_ntz '2025-01-01', 1, 2, 0"))
+    with pytest.raises(ValueError, match="duplicate time"):
+        catalog.stack_pixels(px, catalog.stack_plan(twice))
+    mixed = entries.union(spark.sql("select 'c', timestamp_ntz '2025-02-01', 9, 2, 0"))
+    assert {r.problem for r in catalog.stack_plan(mixed).collect()} == {"mixed track or frame"}
+
+
+def test_hdf5_reader_makes_a_partition_a_chunk(monkeypatch):
+    """The reader's arithmetic against a stand-in for the library, which need not be installed."""
+    import sys
+    import types
+
+    import numpy as np
+
+    z = np.arange(70).reshape(7, 10) * (1 + 2j)
+
+    class Dataset:
+        shape, chunks = z.shape, (4, 4)
+
+        def __getitem__(self, key):
+            return z[key]
+
+    class File(dict):
+        def __init__(self, path):
+            super().__init__(d=Dataset())
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return None
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=File))
+    for window, box in ((None, (0, 7, 0, 10)), ("1,6,3,9", (1, 6, 3, 9))):
+        reader = h5.Reader({"path": "p", "dataset": "d", "window": window})
+        parts = reader.partitions()
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        r0, r1, c0, c1 = box
+        assert {(r["r"], r["c"]): complex(r["re"], r["im"]) for r in rows} == {(i, j): z[i, j] for i in range(r0, r1) for j in range(c0, c1)}
+        assert len(rows) == (r1 - r0) * (c1 - c0) and len(parts) == 6
