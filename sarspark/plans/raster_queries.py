@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import with_sql
 from ..functions import polarimetry as pol
-from ..operators import kernels, sar
+from ..operators import kernels, sar, tiles
 from ..session import importable
 from . import stages
 from .registry import query
@@ -55,18 +55,29 @@ def multilook_interferogram(spark: S, d: str) -> DataFrame:
     return sar.multilook(pair(spark, d), ["re", "im"], 4, 4, *_size(spark, d)).select("lr", "lc", r6("re"), r6("im"))
 
 
-@query(
-    with_sql(
+_LOOKS = with_sql(
         "p",
         f"""SELECT lr, lc, round(re, 6) + 0e0 AS re, round(im, 6) + 0e0 AS im, round(atan2(im, re), 5) + 0e0 AS ph, round(CASE WHEN w > 0 THEN sqrt(re*re + im*im)/w ELSE 0e0 END, 6) AS coh
         FROM (SELECT r // 4 AS lr, c // 4 AS lc, avg(re) AS re, avg(im) AS im, sqrt(avg(re1*re1 + im1*im1)*avg(re2*re2 + im2*im2)) AS w {_LOOK})""",
     )
-)
+
+
+@query(_LOOKS)
 def multilook_coherence(spark: S, d: str) -> DataFrame:
     m = sar.multilook_coherence(fx.slc(spark, d, 0), fx.slc(spark, d, 1), 4, 4, *_size(spark, d))
     return m.select("lr", "lc", r6("re"), r6("im"), (F.round(sar.phase(F.col("re"), F.col("im")), 5) + 0.0).alias("ph"), r6("coh"))
 
 
+@query(_LOOKS)
+def multilook_coherence_tiled(spark: S, d: str) -> DataFrame:
+    """The same from tile tables, the form for whole scenes."""
+    importable(spark)
+    n = _size(spark, d)
+    a, b = (tiles.to_tiles(fx.slc(spark, d, k), *n, 64) for k in (0, 1))
+    m = tiles.multilook_coherence(a, b, 4, 4, *n, 64)
+    return m.select("lr", "lc", r6("re"), r6("im"), (F.round(sar.phase(F.col("re"), F.col("im")), 5) + 0.0).alias("ph"), r6("coh"))
+
+
 def _window_sql(h: int, weight: str) -> str:
     def fold(x: str, n: str) -> str:
         return f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {n} THEN 2*{n} - 1 - ({x}) ELSE {x} END"

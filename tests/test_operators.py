@@ -223,3 +223,17 @@ def test_axes_match(spark):
     axis = spark.createDataFrame([(0, 500000.0), (1, 500030.0)], "idx long, coord double")
     near = axis.withColumn("coord", F.col("coord") * (1 + 1e-10))
     assert geometry.axes_match(axis, near) and not geometry.axes_match(axis, axis.withColumn("coord", F.col("coord") + 1)) and not geometry.axes_match(axis, axis.limit(1))
+
+
+def test_tiles_give_what_pixels_give(spark, noise):
+    from sarspark.operators import tiles
+
+    a, b = (pixels(spark, z) for z in noise)
+    ta, tb = (tiles.to_tiles(x, 12, 16, 8) for x in (a, b))
+    assert np.allclose(image(tiles.to_pixels(ta, 8), (12, 16), "re", "im"), noise[0], atol=1e-6)
+    for looks in ((4, 4), (8, 2)):
+        want = {(r.lr, r.lc): (r.re, r.im, r.coh) for r in sar.multilook_coherence(a, b, *looks, 12, 16).collect()}
+        got = {(r.lr, r.lc): (r.re, r.im, r.coh) for r in tiles.multilook_coherence(ta, tb, *looks, 12, 16, 8).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+    with pytest.raises(ValueError):
+        tiles.multilook_coherence(ta, tb, 3, 4, 12, 16, 8)
