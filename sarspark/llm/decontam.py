@@ -5,8 +5,9 @@ are searched by containment. An item's sketch is the bottom of its shingles in h
 (a bottom-k MinHash). Items are partitioned by size; a partition whose largest item has q
 shingles keeps q - ceil(threshold * q) + 1 of them. A document that holds at least the
 threshold of an item's shingles must hold one of those, so the search misses nothing.
-Documents probe the sketches with all their shingles; each candidate pair is then verified by
-intersecting the two whole shingle sets as text.
+Documents probe the sketches with all their shingles. What meets is a candidate pair of a text
+(by its hash) and an item; documents with such a text are then verified by intersecting the two
+whole shingle sets as text.
 """
 
 from __future__ import annotations
@@ -57,13 +58,15 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     """
     whole, sketch = item_sketches(items, item_id_col, item_text_col, threshold)
     whole, sketch = Written(whole).df, Written(sketch.distinct()).df
-    rows = docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row"), words_of(text_of(text_col)).alias("words"))
+    # probes name their text by a hash, so that neither a shuffle nor the distinct pairs carry words
+    text = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = text.select("key", words_of(F.col("text")).alias("words")).where("words[0] <> ''")
     at = F.sequence(F.lit(0), F.greatest(F.size("words") - WORDS, F.lit(0)))
-    probes = rows.where("words[0] <> ''").select("doc", "row", "words", F.explode(at).alias("i"))
-    probes = probes.select("doc", "row", "words", F.xxhash64(*_shingle(F.col("words"), F.col("i"))).alias("probe"))
+    probes = rows.select("key", "words", F.explode(at).alias("i"))
+    probes = probes.select("key", F.size("words").alias("n_words"), F.xxhash64(*_shingle(F.col("words"), F.col("i"))).alias("probe"))
     # the sketches' written size lets Spark broadcast them, or shuffle them when they outgrow that
-    pairs = probes.join(sketch, "probe").where(F.size("words") >= F.col("n_item") * threshold).dropDuplicates(["row", "item"])
-    both = pairs.drop("n_item", "probe").join(whole, "item")
+    pairs = Written(probes.join(sketch, "probe").where(F.col("n_words") >= F.col("n_item") * threshold).select("key", "item").distinct()).df
+    both = text.join(pairs, "key").select("doc", "item", words_of(F.col("text")).alias("words")).join(whole, "item")
     shared = F.size(F.array_intersect(shingles_of(F.col("words")), F.col("shingles")))
     found = both.select("doc", "item", shared.cast("long").alias("n_shared"), F.col("n_item").cast("long").alias("n_item"))
     found = found.where(F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - 1e-9).groupBy("doc", "item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))

@@ -54,11 +54,12 @@ def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
 
 
 def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """``rules`` with ``token``, the rarest of their tokens in ``urls`` (its column ``tokens``); ties go to the first in order."""
-    of = rules.select("rule", "action", "pattern", "weight", F.explode(F.array_distinct("tokens")).alias("token"))
+    """``rules`` with ``token``, the rarest of their tokens in ``urls`` (its column ``tokens``), for ``tokens``; ties go to the first in order."""
+    by = [c for c in rules.columns if c != "tokens"]
+    of = rules.select(*by, F.explode(F.array_distinct("tokens")).alias("token"))
     seen = urls.select(F.explode("tokens").alias("token")).join(of.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     least = F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token")
-    return of.join(seen, "token", "left").groupBy("rule", "action", "pattern", "weight").agg(least)
+    return of.join(seen, "token", "left").groupBy(*by).agg(least)
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -72,8 +73,11 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     parsed = pages.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     text = F.concat("host", "path")
     parsed = parsed.withColumn("tokens", F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")))
-    rules = Written(rules.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).withColumn("order", F.lit(1 << 62) - (F.col("weight") * 1_000_003 + F.abs(F.xxhash64("rule")) % 1_000_003))).df
-    filed = Written(index(rules, parsed).join(rules.select("rule", "order"), "rule")).df
+    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    # ids that follow a sort are in its order, so the least one that fits is the winning rule's
+    ranked = rules.withColumn("tokens", tokens).orderBy(F.desc("weight"), "rule", "action", "pattern")
+    rules = Written(ranked.withColumn("order", F.monotonically_increasing_id())).df
+    filed = Written(index(rules.select("order", "pattern", "tokens"), parsed)).df
     fetched = parsed.withColumn("token", F.explode(F.array_union("tokens", F.array(F.lit(""))))).join(filed, "token", "left")
     fits = F.col("pattern").isNotNull() & F.expr("concat(host, path) rlike pattern")
     best = fetched.groupBy("row", "id", "host", "path").agg(F.min(F.when(fits, F.col("order"))).alias("best"))
