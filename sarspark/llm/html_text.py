@@ -35,6 +35,9 @@ NOISE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar pagination pager share sharing social related recommended "
     "comment comments disqus reply replies respond skip login search widget".split()
 )
+#: A class that starts so says what a page has beside its content, as in "has-sidebar".
+LAYOUT = frozenset("has with no without".split())
+COMMENTS = ("comment", "reply", "disqus", "respond")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPACES = re.compile(r"\s+")
 
@@ -64,9 +67,21 @@ def _noisy(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -> bool:
             return True
         if name == "role" and value in NOISE_ROLES:
             return True
-        if name in ("class", "id") and tag not in CONTENT and tag not in ("html", "body") and tag not in HEADINGS:
-            if NOISE_WORDS & set(re.split(r"[^a-z]+", value)):
-                return True
+        if name in ("class", "id") and tag in CONTENT and value.strip().startswith(COMMENTS):
+            return True
+    return False
+
+
+def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or id calls an element noise."""
+    if tag in CONTENT or tag in HEADINGS:
+        return False
+    for name, value in attrs:
+        if name in ("class", "id"):
+            for word in (value or "").lower().split():
+                parts = re.split(r"[^a-z]+", word)
+                if parts[0] not in LAYOUT and NOISE_WORDS.intersection(parts):
+                    return True
     return False
 
 
@@ -77,11 +92,14 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
         self.open: Counter = Counter()  # open elements by tag, so that nothing climbs for what is not open
+        self.named: list[tuple[Node, int]] = []  # open noise by name, with the open articles around it
 
     def _leave(self, node: Node) -> None:
         """Close the open elements up to and with ``node``."""
         while self.at is not node.parent:
             self.open[self.at.tag] -= 1
+            if self.named and self.named[-1][0] is self.at:
+                self.named.pop()
             self.at = self.at.parent
 
     def _close(self, tags: frozenset | set, scopes: frozenset) -> None:
@@ -107,11 +125,19 @@ class Tree(HTMLParser):
                 self._close(SAME_CLOSERS[tag], stop)
         if tag in HEADINGS and self.at.tag in HEADINGS:
             self._leave(self.at)
-        node = Node(tag, self.at, _noisy(tag, attrs, self.at))
+        articles = self.open["article"] + self.open["main"]
+        if tag == "h1":  # what holds the page's titled article is its layout, whatever its name
+            while self.named and self.named[-1][1] < articles:
+                self.named.pop()[0].noise = False
+        noisy = _noisy(tag, attrs, self.at)
+        named = not noisy and _named_noise(tag, attrs)
+        node = Node(tag, self.at, noisy or named)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
             self.open[tag] += 1
+            if named:
+                self.named.append((node, articles))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -156,7 +182,10 @@ def _weigh(root: Node) -> list[Node]:
 
 
 def _content(root: Node) -> list[Node]:
-    """The main block, with the blocks beside its path that reach the threshold, in page order."""
+    """The main block, with the blocks beside its path that reach the threshold, in page order.
+
+    A page's only h1 is its title and belongs to it, in whichever block before it stands.
+    """
     blocks = [n for n in _weigh(root) if n.tag not in INLINE]
     best = max(blocks, key=lambda n: (n.total, n.density))  # the first of equals
     if best.total <= 0:
@@ -170,9 +199,12 @@ def _content(root: Node) -> list[Node]:
     for node, parent in zip(path, path[1:]):
         if node is top:
             break
-        at = parent.children.index(node)
-        good = [c for c in parent.children if c is not node and isinstance(c, Node) and not c.noise and c.tag not in INLINE and c.chars and c.density >= threshold]
-        chosen = [c for c in good if parent.children.index(c) < at] + chosen + [c for c in good if parent.children.index(c) > at]
+        beside = [c for c in parent.children if c is node or isinstance(c, Node) and not c.noise and c.tag not in INLINE and c.chars and c.density >= threshold]
+        at = beside.index(node)
+        chosen = beside[:at] + chosen + beside[at + 1 :]
+    titles = [n for n in blocks if n.tag == "h1"]
+    if len(titles) == 1 and titles[0] not in path and top.tag not in CONTENT and blocks.index(titles[0]) < blocks.index(chosen[0]):
+        chosen.insert(0, titles[0])
     return chosen
 
 

@@ -217,6 +217,28 @@ def test_main_text():
     assert html_text.main_text("<p>" + "word " * 100_000).count("word") == 100_000
 
 
+STORY = "<p>A first paragraph that is long enough to be the story of this page.</p><p>A second paragraph, &amp; as long as the first one was.</p>"
+SAID = "<p>A reader says more than the story itself does, and goes on and on about it without any end.</p>" * 5
+LAYOUTS = [
+    f'<div class="layout with-sidebar"><div class="sidebar-right"><article><h1>T</h1>{STORY}</article><aside>side</aside></div></div>',
+    f'<div class="content no-sidebar"><h1>T</h1>{STORY}</div><div class="sidebar"><p>side</p></div>',
+    f'<article><h1>T</h1>{STORY}<div class="ad"><h2>Buy</h2></div></article><div class="comments"><article>{SAID}</article></div>',
+    f'<main><article class="post"><h1>T</h1>{STORY}</article><ol><li><article class="comment-body">{SAID}</article></li></ol></main>',
+    f'<div id="head"><h1>T</h1></div><div><div>{STORY}</div></div><div id="respond">{SAID}</div>',
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_main_text_of_other_layouts(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == ["T", "A first paragraph that is long enough to be the story of this page.", "A second paragraph, & as long as the first one was."]
+
+
+def test_main_text_takes_linear_time():
+    many = "<div>a line of text</div>" * 30_000
+    assert html_text.main_text(f"<div><p>best</p>{many}</div>").count("line") == 30_000
+    assert html_text.main_text("<div class=ad>" * 5000 + "<article>" * 5000 + "<h1>x</h1>" * 5000).count("x") == 5000
+
+
 def test_pages_match_their_articles(spark, data):
     import html
 
