@@ -85,8 +85,15 @@ def oracle_sql() -> dict[str, str]:
     fits = " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, '{verdict}' AS action, '{rule.partition('/')[0]}' AS h, '/{rule.partition('/')[2]}' AS p" for rule, verdict in URL_RULES
     )
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha1(h), 5 * i + 1, 5))::BIGINT >> j) % 32 + 1, 1)"
     own = " OR ".join(f"regexp_matches(host || path, '{pattern}')" for _, _, pattern, _, _ in urlfilter.PATTERNS)
     return {
+        "op6_warc": f"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+            SELECT page_id, strlen(h) AS payload_bytes, list_aggregate(flatten([[{digit} for j in [15, 10, 5, 0]] for i in range(8)]), 'string_agg', '') AS payload_digest,
+                   CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM p JOIN f USING (h)
+        """,
         "op9_decontamination": f"""
             WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
             ds AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM d), s AS (SELECT item_id, {_SHINGLES} AS l FROM i),
