@@ -10,7 +10,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -251,28 +251,76 @@ def labels(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def unwrap(igram: DataFrame, min_coherence: float = 0.0) -> DataFrame:
-    """(r, c, unw, conncomp) of (r, c, re, im, coh): path-following unwrapping without an external solver.
+def _number(links: pd.DataFrame) -> pd.DataFrame:
+    """(seed, number): components of the links (u, v), numbered by their least seed."""
+    seeds, at = np.unique(np.concatenate([links["u"], links["v"]]), return_inverse=True)
+    u, v = at[: len(links)], at[len(links) :]
+    root, last = np.arange(len(seeds)), None
+    while last is None or (root != last).any():
+        last, low = root, np.minimum(root[u], root[v])
+        root = last.copy()
+        np.minimum.at(root, last[u], low)
+        np.minimum.at(root, last[v], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return pd.DataFrame({"seed": seeds, "number": np.unique(root, return_inverse=True)[1] + 1})
+
+
+def connected(px: DataFrame, tile: int = 256) -> DataFrame:
+    """(r, c, conncomp) of (r, c, ok): 4-connected components of good pixels from 1 in scan order, else 0.
 
-    Rows are unwrapped along the first column, then each along itself. The result is congruent
-    with the input and exact on ramps; components are where coherence is at least the limit.
-    One image is one group, as unwrapping is a whole-scene problem.
+    Tiles are labelled alone; a label is the first pixel of its component. Neighbours across a tile's
+    edge link labels. Only the labels and these links meet in one group, never the pixels.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(g["r"].max()) + 1, int(g["c"].max()) + 1
-        z, ok = np.zeros((h, w)), np.zeros((h, w), bool)
-        z[g["r"], g["c"]] = np.arctan2(g["im"], g["re"])
-        ok[g["r"], g["c"]] = g["coh"] >= min_coherence
-        z[:, 0] = np.unwrap(z[:, 0])
-        z = np.unwrap(z, axis=1)
-        comp = labels(ok)
-        r, c = g["r"].to_numpy(), g["c"].to_numpy()
-        return pd.DataFrame({"r": r, "c": c, "unw": z[r, c], "conncomp": comp[r, c]})
+        r, c, ok = g["r"].to_numpy(), g["c"].to_numpy(), g["ok"].to_numpy()
+        r0, c0 = r.min(), c.min()
+        mask = np.zeros((r.max() - r0 + 1, c.max() - c0 + 1), bool)
+        mask[r - r0, c - c0] = ok
+        found = labels(mask)
+        names, at = np.unique(found, return_index=True)
+        first = np.zeros(names[-1] + 1, np.int64)
+        first[names] = ((r0 + at // mask.shape[1]) << 32) + c0 + at % mask.shape[1]
+        # other pixels get a seed each that nothing meets, so they are no hot key
+        return pd.DataFrame({"r": r, "c": c, "seed": np.where(ok, first[found[r - r0, c - c0]], -1 - (r << 32) - c)})
+
+    by = px.select(F.col("r").cast("long"), F.col("c").cast("long"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    labelled = by.withColumn("ty", F.expr(f"r div {tile}")).withColumn("tx", F.expr(f"c div {tile}")).groupBy("ty", "tx").applyInPandas(run, "r long, c long, seed long")
+    here = F.shiftleft("r", 32) + F.col("c")
+    row, col = F.pmod("r", F.lit(tile)), F.pmod("c", F.lit(tile))
+    keys = F.array(
+        F.when(F.col("seed") == here, F.struct(F.lit(0).alias("side"), here.alias("at"))),
+        F.when(row == tile - 1, F.struct(F.lit(1).alias("side"), here.alias("at"))).when(row == 0, F.struct(F.lit(1).alias("side"), (here - (1 << 32)).alias("at"))),
+        F.when(col == tile - 1, F.struct(F.lit(2).alias("side"), here.alias("at"))).when(col == 0, F.struct(F.lit(2).alias("side"), (here - 1).alias("at"))),
+    )
+    met = labelled.where("seed >= 0").select("seed", F.explode(F.array_compact(keys)).alias("key"))
+    links = met.groupBy("key").agg(F.min("seed").alias("u"), F.max("seed").alias("v")).where("u < v or key.side = 0").select("u", "v").distinct()
+    numbers = links.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_number, "seed long, number long")
+    return labelled.join(numbers, "seed", "left").select("r", "c", F.coalesce("number", F.lit(0).cast("long")).alias("conncomp"))
+
+
+def unwrap(igram: DataFrame, min_coherence: float = 0.0, tile: int = 256) -> DataFrame:
+    """(r, c, unw, conncomp) of (r, c, re, im, coh): path-following unwrapping without an external solver.
+
+    Lines are unwrapped along their first pixels, then each along itself, past missing pixels. The
+    result is congruent with the input and exact on ramps; components are where coherence is at
+    least the limit. Whole turns are running sums: one window a line, and one over a row a line.
+    """
+    px = igram.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.atan2("im", "re").alias("ph"), "coh")
 
-    return igram.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "r long, c long, unw double, conncomp long")
+    def turns(order: Window):
+        step = F.col("ph") - F.lag("ph").over(order)
+        return F.when(step > np.pi, -1).when(step < -np.pi, 1).otherwise(0)
 
+    def summed(df: DataFrame, order: Window, name: str) -> DataFrame:
+        return df.withColumn("turn", turns(order)).withColumn(name, F.sum("turn").over(order)).drop("turn")
 
+    along, down = Window.partitionBy("r").orderBy("c"), Window.partitionBy(F.lit(0)).orderBy("r")
+    heads = summed(px.groupBy("r").agg(F.min_by("ph", "c").alias("ph")), down, "before").select("r", "before")
+    phase = summed(px, along, "within").join(heads, "r").select("r", "c", (F.col("ph") + (F.col("before") + F.col("within")) * F.lit(2 * np.pi)).alias("unw"))
+    good = connected(px.select("r", "c", ((F.col("coh") >= min_coherence) & ~F.isnan("coh")).alias("ok")), tile)
+    return phase.join(good, ["r", "c"])
 
 
 def multilook_coherence(a: DataFrame, b: DataFrame, ly: int, lx: int, ny: int, nx: int, antialias: str | None = None) -> DataFrame:

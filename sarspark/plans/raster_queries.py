@@ -142,8 +142,20 @@ def goldstein(spark: S, d: str) -> DataFrame:
     return kernels.goldstein(pair(spark, d), 0.5, 16, 4).select("r", "c", r6("re"), r6("im"))
 
 
-@query()
+_TURN = "CASE WHEN {d} > pi() THEN -1 WHEN {d} < -pi() THEN 1 ELSE 0 END"
+
+
+@query(
+    with_sql(
+        "p",
+        f"""SELECT r, c, round(ph + (before + sum(turn) OVER (PARTITION BY r ORDER BY c)) * 2 * pi(), 5) + 0e0 AS unw,
+        CASE WHEN count(*) OVER () = (max(r) OVER () + 1) * (max(c) OVER () + 1) THEN 1::BIGINT END AS conncomp
+        FROM (SELECT r, c, ph, {_TURN.format(d="ph - lag(ph) OVER (PARTITION BY r ORDER BY c)")} AS turn FROM (SELECT r, c, {_ANGLE} AS ph FROM p))
+        JOIN (SELECT r, sum(turn) OVER (ORDER BY r) AS before FROM (SELECT r, {_TURN.format(d="ph - lag(ph) OVER (ORDER BY r)")} AS turn FROM (SELECT r, {_ANGLE} AS ph FROM p WHERE c = 0))) USING (r)""",
+    )
+)
 def unwrap_rows(spark: S, d: str) -> DataFrame:
+    """All pixels are coherent, so a full rectangle is one component."""
     importable(spark)
     return kernels.unwrap(pair(spark, d).withColumn("coh", F.lit(1.0))).select("r", "c", r6("unw", 5), "conncomp")
 

@@ -142,6 +142,23 @@ def test_unwrap_recovers_a_ramp(spark):
     assert {r.conncomp for r in rows} == {0, 1, 2}
 
 
+def test_unwrap_of_noise_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(23, 31)) + 1j * rng.normal(size=(23, 31))
+    good = rng.random((23, 31)) < 0.6
+    rows = [(i, j, float(z[i, j].real), float(z[i, j].imag), 1.0 if good[i, j] else [0.0, None, float("nan")][(i + j) % 3]) for i in range(23) for j in range(31)]
+    px = spark.createDataFrame(rows, "r int, c int, re double, im double, coh double")
+    want = np.angle(z)
+    want[:, 0] = np.unwrap(want[:, 0])
+    want, comp = np.unwrap(want, axis=1), kernels.labels(good)
+    for tile in (4, 64):
+        got = kernels.unwrap(px, 0.5, tile).collect()
+        assert len(got) == z.size
+        assert all(abs(r.unw - want[r.r, r.c]) < 1e-9 and r.conncomp == comp[r.r, r.c] for r in got)
+    assert kernels.unwrap(px.limit(0)).count() == 0
+    assert {r.conncomp for r in kernels.unwrap(px, 2.0).collect()} == {0}
+
+
 def test_eigenvalues_and_angles_against_numpy(spark):
     rng = np.random.default_rng(11)
     k = rng.normal(size=(4, 6, 3)) + 1j * rng.normal(size=(4, 6, 3))  # looks, pixels, (hh, hv, vv)
