@@ -25,6 +25,8 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
 NOISE = frozenset("nav footer aside form button select textarea fieldset menu dialog input label".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head; anything else ends one whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CONTENT = frozenset(["article", "main"])
 #: What closes an open element of these kinds when it starts.
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -112,7 +114,15 @@ class Tree(HTMLParser):
                 return
             node = node.parent
 
+    def _end_head(self) -> None:
+        node = self.at
+        while node.tag != "head":
+            node = node.parent
+        self._leave(node)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.open["head"] and (tag == "body" or self.at.tag == "head" and tag not in IN_HEAD):
+            self._end_head()
         if tag in ("html", "body"):
             return
         if tag in P_CLOSERS:
@@ -156,6 +166,8 @@ class Tree(HTMLParser):
             self._leave(node)
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and not data.isspace():
+            self._end_head()
         self.at.children.append(data)
 
 

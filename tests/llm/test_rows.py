@@ -233,6 +233,12 @@ def test_main_text_of_other_layouts(page):
     assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == ["T", "A first paragraph that is long enough to be the story of this page.", "A second paragraph, & as long as the first one was."]
 
 
+@pytest.mark.parametrize("start", ["<head><title>x</title><body>", "<head><title>x</title><meta name=a>", "<head><script>x</script>\n<head>", "<head><noscript><link rel=a><body>", "<head><noscript><p>x</p></noscript>"])
+def test_main_text_without_the_end_of_the_head(start):
+    assert html_text.main_text(f"<html>{start}<p>one</p><p>two</p>") == "one\ntwo"
+    assert html_text.main_text(f"<html>{start}bare text") == "bare text"
+
+
 def test_main_text_takes_linear_time():
     many = "<div>a line of text</div>" * 30_000
     assert html_text.main_text(f"<div><p>best</p>{many}</div>").count("line") == 30_000
