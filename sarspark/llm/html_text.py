@@ -3,8 +3,9 @@
 Every DOM node has a density: its characters outside links over its tags. A block's density sum
 adds the densities of its child blocks. The block with the greatest sum is the main content;
 the least density on its path from body is the threshold that blocks beside that path must
-reach to be kept with it. Menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are no content and are taken out before.
+reach to be kept with it. Where that path meets an article or main, the whole element is kept.
+Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are no content and are taken out before.
 """
 
 from __future__ import annotations
@@ -196,7 +197,8 @@ def _weigh(root: Node) -> list[Node]:
 def _content(root: Node) -> list[Node]:
     """The main block, with the blocks beside its path that reach the threshold, in page order.
 
-    A page's only h1 is its title and belongs to it, in whichever block before it stands.
+    Where the path meets an article, or else a main, that whole element is the content. A page's
+    only h1 is its title and belongs to it, in whichever block before it stands.
     """
     blocks = [n for n in _weigh(root) if n.tag not in INLINE]
     best = max(blocks, key=lambda n: (n.total, n.density))  # the first of equals
@@ -205,18 +207,19 @@ def _content(root: Node) -> list[Node]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    top = next((n for n in path if n.tag in CONTENT), path[-1])
-    chosen = [best]
-    for node, parent in zip(path, path[1:]):
-        if node is top:
-            break
-        beside = [c for c in parent.children if c is node or isinstance(c, Node) and not c.noise and c.tag not in INLINE and c.chars and c.density >= threshold]
-        at = beside.index(node)
-        chosen = beside[:at] + chosen + beside[at + 1 :]
+    whole = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
+    if whole:
+        chosen = path = [whole[-1]]  # the outermost: articles inside are parts of it
+    else:
+        threshold = min(n.density for n in path)
+        chosen = [best]
+        for node, parent in zip(path, path[1:]):
+            beside = [c for c in parent.children if c is node or isinstance(c, Node) and not c.noise and c.tag not in INLINE and c.chars and c.density >= threshold]
+            at = beside.index(node)
+            chosen = beside[:at] + chosen + beside[at + 1 :]
     titles = [n for n in blocks if n.tag == "h1"]
-    if len(titles) == 1 and titles[0] not in path and top.tag not in CONTENT and blocks.index(titles[0]) < blocks.index(chosen[0]):
-        chosen.insert(0, titles[0])
+    if len(titles) == 1 and titles[0] not in path and blocks.index(titles[0]) < blocks.index(chosen[0]):
+        chosen = [titles[0], *chosen]
     return chosen
 
 

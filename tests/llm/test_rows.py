@@ -239,6 +239,20 @@ def test_main_text_without_the_end_of_the_head(start):
     assert html_text.main_text(f"<html>{start}bare text") == "bare text"
 
 
+LONG = "a paragraph with words enough to outweigh what is beside it"
+WHOLE = [
+    (f"<article><h1>T</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div><p>Short end.</p></article>", ["T", LONG, LONG, "Short end."]),
+    (f"<main><h2>T</h2>bare <b>bold</b><section><p>{LONG}</p><p>{LONG}</p></section><section><h3>S</h3><ul><li>i<li>j</ul></section></main>", ["T", "bare bold", LONG, LONG, "S", "i", "j"]),
+    (f"<main><h1>T</h1><article><h2>S</h2><div><p>{LONG}</p><p>{LONG}</p></div><figure><figcaption>c</figcaption></figure></article><p>other</p></main>", ["T", "S", LONG, LONG, "c"]),
+    (f"<article><p>start</p><article><p>{LONG}</p><p>{LONG}</p></article><aside>no</aside><p>end</p></article><p>{LONG}</p>", ["start", LONG, LONG, "end"]),
+]
+
+
+@pytest.mark.parametrize("page, want", WHOLE)
+def test_main_text_is_the_whole_article(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
 def test_main_text_takes_linear_time():
     many = "<div>a line of text</div>" * 30_000
     assert html_text.main_text(f"<div><p>best</p>{many}</div>").count("line") == 30_000
