@@ -5,7 +5,8 @@ adds the densities of its child blocks. The block with the greatest sum is the m
 the least density on its path from body is the threshold that blocks beside that path must
 reach to be kept with it. Where that path meets an article or main, the whole element is kept.
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are no content and are taken out before.
+comments are no content and are taken out before; a block that only its name calls so stays if it
+holds the page's main text.
 """
 
 from __future__ import annotations
@@ -46,10 +47,10 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "children", "parent", "chars", "links", "tags", "density", "total")
+    __slots__ = ("tag", "noise", "name", "children", "parent", "chars", "links", "tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool, name: str = ""):
+        self.tag, self.parent, self.noise, self.name = tag, parent, noise, name
         self.children: list = []
         self.chars = self.links = self.tags = 0
         self.density = self.total = 0.0
@@ -75,17 +76,20 @@ def _noisy(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -> bool:
     return False
 
 
-def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a class or id calls an element noise."""
+def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """What a class or id that calls an element noise says: ``comments``, ``noise`` or, with other words in it, ``part``; else nothing."""
+    found = ""
     if tag in CONTENT or tag in HEADINGS:
-        return False
+        return found
     for name, value in attrs:
         if name in ("class", "id"):
             for word in (value or "").lower().split():
                 parts = re.split(r"[^a-z]+", word)
                 if parts[0] not in LAYOUT and NOISE_WORDS.intersection(parts):
-                    return True
-    return False
+                    if any(p.startswith(COMMENTS) or p == "replies" for p in parts):
+                        return "comments"
+                    found = "noise" if found == "noise" or NOISE_WORDS.issuperset(filter(None, parts)) else "part"
+    return found
 
 
 class Tree(HTMLParser):
@@ -96,6 +100,7 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", None, False)
         self.open: Counter = Counter()  # open elements by tag, so that nothing climbs for what is not open
         self.named: list[tuple[Node, int]] = []  # open noise by name, with the open articles around it
+        self.soft = False  # whether any element is noise by name
 
     def _leave(self, node: Node) -> None:
         """Close the open elements up to and with ``node``."""
@@ -141,8 +146,9 @@ class Tree(HTMLParser):
             while self.named and self.named[-1][1] < articles:
                 self.named.pop()[0].noise = False
         noisy = _noisy(tag, attrs, self.at)
-        named = not noisy and _named_noise(tag, attrs)
-        node = Node(tag, self.at, noisy or named)
+        named = "" if noisy else _named_noise(tag, attrs)
+        node = Node(tag, self.at, noisy or named != "", named)
+        self.soft = self.soft or named != ""
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -172,6 +178,57 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
+def _lift(root: Node) -> None:
+    """Make content of what only its name calls noise, where it holds the page's main text.
+
+    That is a block with more than half of the text outside links, or with the only h1, if no
+    article, main, h1 or h2 with text stands outside such blocks. A name of noise words alone
+    needs one of these inside or the h1. Reader comments count for no text of the page, and text
+    never makes them content.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and (c.name or not c.noise)]
+    words: dict[Node, int] = {}
+    h1s: dict[Node, int] = {}
+    titled: dict[Node, bool] = {}
+    for node in reversed(order):
+        n, h, t = 0, 0, False
+        for c in node.children:
+            if isinstance(c, str):
+                n += len(_SPACES.sub("", c))
+            elif c in words:
+                n += 0 if c.noise and c.name == "comments" else words[c]
+                h += h1s[c]
+                t = t or titled[c]
+        own = bool(n) and (node.tag in CONTENT or node.tag in ("h1", "h2"))
+        words[node], h1s[node], titled[node] = 0 if node.tag == "a" else n, h + (own and node.tag == "h1"), t or own
+    main = title = False  # whether what is no noise has an article or main, or a heading of the page
+    met: list[Node] = []
+    stack = [root]
+    while stack:
+        while stack:
+            node = stack.pop()
+            if words[node] and (node.tag in CONTENT or node.tag in ("h1", "h2")):
+                main, title = main or node.tag in CONTENT, True
+            for c in node.children:
+                if c in words:
+                    (met if c.noise else stack).append(c)
+        if main:
+            return
+        # at most two blocks are left here: no two hold the only h1, or more than half of the text
+        met = [n for n in met if h1s[root] == 1 == h1s[n] or n.name != "comments" and 2 * words[n] > words[root]]
+        for n in met:
+            headed, most = h1s[root] == 1 == h1s[n], n.name != "comments" and 2 * words[n] > words[root]
+            if headed and (most or not title) or most and not title and (n.name == "part" or titled[n]):
+                n.noise = False
+                met.remove(n)
+                stack.append(n)
+                break
+
+
 def _weigh(root: Node) -> list[Node]:
     """Set counts, densities and sums bottom-up without recursion; the nodes in page order."""
     order, stack = [], [root]
@@ -260,6 +317,8 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.soft:
+        _lift(tree.root)
     return "\n".join(_blocks(_content(tree.root)))
 
 

@@ -253,10 +253,27 @@ def test_main_text_is_the_whole_article(page, want):
     assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
 
 
+WRAPPED = [
+    (f'<div class="content-with-sidebar"><h1>T</h1><p>{LONG}</p><div class="sidebar">side</div></div>', ["T", LONG]),
+    (f'<div class="sidebar-right"><article><h2>T</h2><p>{LONG}</p></article><div class="share">Share</div></div>', ["T", LONG]),
+    (f'<div id="search"><div class="page alert-on"><h2>T</h2><p>{LONG}</p></div></div><div class="comments">{SAID}</div>', ["T", LONG]),
+    (f'<div class="nav-open"><div><p>{LONG}</p><p>{LONG}</p></div><nav>menu</nav></div>', [LONG, LONG]),
+    (f'<div><h2>T</h2><p>{LONG}</p></div><div class="sidebar"><h2>S</h2>{SAID}</div><div class="banner"><h1>Site</h1></div>', ["T", LONG]),
+    (f'<article><p>{LONG}</p></article><div class="cookie-box"><h1>C</h1>{SAID}</div>', [LONG]),
+    (f'<div><p>{LONG}</p></div><div class="comment-list">{SAID}</div><div class="newsletter">{SAID}</div>', [LONG]),
+]
+
+
+@pytest.mark.parametrize("page, want", WRAPPED)
+def test_main_text_in_a_block_named_like_noise(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
 def test_main_text_takes_linear_time():
     many = "<div>a line of text</div>" * 30_000
     assert html_text.main_text(f"<div><p>best</p>{many}</div>").count("line") == 30_000
     assert html_text.main_text("<div class=ad>" * 5000 + "<article>" * 5000 + "<h1>x</h1>" * 5000).count("x") == 5000
+    assert html_text.main_text("<div class=ad-x><p class=ad>y</p>" * 5000 + "x" * 10_000) == "x" * 10_000
 
 
 def test_pages_match_their_articles(spark, data):
