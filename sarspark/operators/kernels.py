@@ -204,7 +204,7 @@ def link_tile(z: np.ndarray, r0: int, r1: int, c0: int, c1: int, half: int, thre
     return phase, amp, coh
 
 
-def phase_link(stack: DataFrame, half: int = 5, confidence: float = 0.95, tile: int = 32) -> DataFrame:
+def phase_link(stack: DataFrame, half: int = 11, confidence: float = 0.95, tile: int = 32) -> DataFrame:
     """(t, r, c, re, im, coh): linked phases per pixel from tiles with a halo of ``half`` pixels.
 
     Border pixels are copied to the tiles whose halo holds them; a tile is one group, so a scene of

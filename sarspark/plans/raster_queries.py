@@ -219,7 +219,7 @@ def shp_count(spark: S, d: str) -> DataFrame:
 @query()
 def phase_link(spark: S, d: str) -> DataFrame:
     importable(spark)
-    linked = kernels.phase_link(fx.stack(spark, d), half=2, tile=16)
+    linked = kernels.phase_link(fx.stack(spark, d), tile=16)
     return linked.select("t", "r", "c", r6("re", 4), r6("im", 4), r6("coh", 4))
 
 

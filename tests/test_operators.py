@@ -134,6 +134,40 @@ def test_phase_link_of_a_ramp_does_not_depend_on_tiles(spark):
     assert np.allclose(d, 0, atol=0.3)
 
 
+def slow_link(z, half):
+    """The linked samples and coherences of (t, r, c) by a plain loop over pixels and their windows."""
+    n, h, w = z.shape
+    power = (np.abs(z) ** 2).sum(0) / (2 * n)
+    linked, coh = z.copy(), np.zeros(z.shape)
+    for i in range(h):
+        for j in range(w):
+            alike = lambda a, b: 2 * math.log((power[a, b] + power[i, j]) / 2) - math.log(power[a, b]) - math.log(power[i, j]) < 3.841458820694124 / (2 * n)
+            found, todo = {(i, j)}, [(i, j)]
+            while todo:
+                y, x = todo.pop()
+                for a in range(max(y - 1, i - half, 0), min(y + 2, i + half + 1, h)):
+                    for b in range(max(x - 1, j - half, 0), min(x + 2, j + half + 1, w)):
+                        if (a, b) not in found and alike(a, b):
+                            found.add((a, b))
+                            todo.append((a, b))
+            if len(found) > 1:
+                s = np.array([z[:, a, b] for a, b in sorted(found)]).T
+                c = np.array([[(x * y.conj()).sum() / math.sqrt((np.abs(x) ** 2).sum() * (np.abs(y) ** 2).sum()) for y in s] for x in s])
+                linked[:, i, j], coh[:, i, j] = np.abs(s).mean(1) * np.exp(1j * kernels.emi_phases(c)), np.abs(c[0])
+    return linked, coh
+
+
+def test_phase_link_searches_eleven_pixels_to_each_side(spark):
+    rng = np.random.default_rng(11)
+    z = np.exp(0.5j * np.arange(3))[:, None, None] * (rng.normal(size=(26, 27)) + 1j * rng.normal(size=(26, 27)))
+    z = z + 0.3 * (rng.normal(size=z.shape) + 1j * rng.normal(size=z.shape))
+    rows = [(t, i, j, float(z[t, i, j].real), float(z[t, i, j].imag)) for t, i, j in np.ndindex(*z.shape)]
+    got = kernels.phase_link(spark.createDataFrame(rows, "t long, r long, c long, re double, im double"), tile=16).collect()
+    linked, coh = slow_link(z, 11)
+    assert len(got) == z.size
+    assert all(np.isclose(complex(x.re, x.im), linked[x.t, x.r, x.c]) and np.isclose(x.coh, coh[x.t, x.r, x.c]) for x in got)
+
+
 def test_unwrap_recovers_a_ramp(spark):
     ramp = 0.9 * np.arange(10)[:, None] + 0.4 * np.arange(30)[None]
     px = pixels(spark, np.exp(1j * ramp)).withColumn("coh", F.when(F.col("c") == 15, 0.0).otherwise(1.0))
