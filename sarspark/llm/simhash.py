@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -68,6 +69,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _print_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _signed(fingerprint(t)))
+
+
 def variants(distinct: DataFrame) -> DataFrame:
     """(variant, block, fp): for each dropped block the kept bits and all their one-bit variants."""
     keys, first = [], []
@@ -166,6 +171,17 @@ def edges_of(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, fp, component_id) of every row, and ``more``: ``root``, which tells components of one least id apart."""
+    rows = Written(fingerprints(docs, id_col, text_col)).df
+    distinct = Written(rows.groupBy("fp").agg(F.min("id").alias("least"))).df
+    roots = Written(components(edges_of(distinct.select("fp")))).df
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = Written(rooted.where("root <> fp or least is not null").groupBy("root").agg(F.min("least").alias("component_id"))).df
+    named = Written(rooted.join(least, "root", "left").select(F.col("fp").alias("named_fp"), "component_id", *more)).df
+    return rows.join(named, rows["fp"] == named["named_fp"], "left").select("id", "fp", "component_id", *more)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) of every row of ``docs``.
 
@@ -173,24 +189,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each get a row; a null id gets its component but never names one. Components hold all
     rows that links of at most three bits connect; other columns are ignored.
     """
-    rows = Written(fingerprints(docs, id_col, text_col)).df
-    distinct = Written(rows.groupBy("fp").agg(F.min("id").alias("least"))).df
-    roots = Written(components(edges_of(distinct.select("fp")))).df
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = Written(rooted.where("root <> fp or least is not null").groupBy("root").agg(F.min("least").alias("component_id"))).df
-    named = Written(rooted.join(least, "root", "left").select(F.col("fp").alias("named_fp"), "component_id")).df
-    return rows.join(named, rows["fp"] == named["named_fp"], "left").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return _grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of least id of each component, once; all columns stay.
 
-    Rows without an id cannot be told apart and all stay.
+    Texts of one id that lie in different components are told apart by their fingerprints, so
+    each component keeps its own. Rows without an id cannot be told apart and all stay.
     """
-    mark = spare(docs.columns, "kept_id")
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    kept = Written(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()).df
-    first = docs.join(kept, docs[id_col] == kept[mark], "left_semi").dropDuplicates([id_col])
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    mark, bits = spare(docs.columns, "kept_id"), spare(docs.columns, "kept_fp")
+    of_fp = spare(docs.columns, "kept_of")
+    known, unknown = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    found = Written(_grouped(known, id_col, text_col, "root")).df
+    kept = Written(found.where("id = component_id").groupBy("id", "root").agg(F.min("fp").alias(of_fp)).select(F.col("id").alias(mark), of_fp)).df
+    several = Written(found.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("id").alias(mark))).df
+    same = F.col(id_col) == F.col(mark)
+    first = known.join(kept.select(mark), same, "left_semi")
+    if several.isEmpty():
+        return first.dropDuplicates([id_col]).unionByName(unknown)
+    printed = F.pandas_udf(_print_all, "long")
+    more = first.join(several, same, "left_semi").withColumn(bits, printed(text_of(text_col)))
+    more = more.join(kept, same & (F.col(bits) == F.col(of_fp)), "left_semi").dropDuplicates([id_col, bits]).drop(bits)
+    return first.join(several, same, "left_anti").dropDuplicates([id_col]).unionByName(more).unionByName(unknown)

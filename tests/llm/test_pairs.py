@@ -97,6 +97,14 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    text, other, third = (" ".join(f"{w}{k}" for k in range(200)) for w in ("word", "thing", "else"))
+    docs = frame(spark, [text, text, other, other, third, text + " end", third], [2, 5, 5, 5, 2, 2, 9])
+    kept = sorted((r.doc_id, r.text[:4]) for r in simhash.keep_one(docs).collect())
+    near = bin(slow_fingerprint(text) ^ slow_fingerprint(text + " end")).count("1") <= 3
+    assert kept == [(2, "else"), *[(2, "word")] * (1 if near else 2), (5, "thin")]
+
+
 def slow_shingles(text):
     w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
     return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
