@@ -74,8 +74,12 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null id stay."""
-    mark = spare(docs.columns, "held_id")
-    found = contained(docs.where(F.col(id_col).isNotNull()), items, id_col, text_col, item_id_col, item_text_col, threshold)
-    held = Written(found.select(F.col(id_col).alias(mark)).distinct()).df
-    return docs.join(held, docs[id_col] == held[mark], "left_anti")
+    """``docs`` without the documents that hold an item; rows with a null id stay.
+
+    A row's own text decides (by its hash), so a clean row stays whatever else has its id.
+    """
+    mark = spare(docs.columns, "held_text")
+    known = docs.where(F.col(id_col).isNotNull())
+    texts = known.select(F.xxhash64(text_of(text_col)).alias(mark), F.col(text_col).alias("text"))
+    held = Written(contained(texts, items, mark, "text", item_id_col, item_text_col, threshold).select(mark).distinct()).df
+    return known.join(held, F.xxhash64(text_of(text_col)) == F.col(mark), "left_anti").unionByName(docs.where(F.col(id_col).isNull()))

@@ -129,6 +129,13 @@ def test_decontamination_against_all_pairs(spark, data):
     assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(x or -1 for x, _ in d if x not in held)
 
 
+def test_decontamination_judges_each_text_of_an_id(spark):
+    item = "one two three four five six seven eight"
+    docs = frame(spark, [f"a {item} b", "a clean text that holds nothing of it", item, "clean too"], [1, 1, 2, 3])
+    left = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "a clean text that holds nothing of it"), (3, "clean too")]
+
+
 def test_decontamination_of_nothing(spark):
     docs, none = frame(spark, EDGE), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contained(docs, none).count() == 0
