@@ -163,38 +163,110 @@ def test_packing(spark, data):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     odd = [*EDGE, "a <|endoftext|> b", "\u0085x\u180ey\u2028z\ufeff  \u00a0 q", "x" * 5000]
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source").union(frame(spark, odd, list(range(5000, 5000 + len(odd)))).select("doc_id", "text", "source"))
+    docs = docs.withColumn("START", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("queue", F.lit(2))
     rows = packing.pack(docs, path).collect()
     windows = check_pieces(rows, [(r.doc_id, r.text) for r in docs.collect()])
     used = sum(r.length for r in rows)
-    assert len(windows) <= used / 2048 + 8  # a partial window for each partition at most
+    assert len(windows) == -(-used // 2048) and sorted(windows) == list(range(len(windows)))  # one partial window
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
-def test_windows_follow_the_mixture():
-    one = packing.Scheduler(3, own_mixture=True)
-    rng = np.random.default_rng(0)
-    for k in range(600):
-        one.add(k, "big" if k % 3 else "small", 0.0, np.ones(int(rng.integers(100, 3000)), "<u2"))
-    share, n = one.ready["small"] / one.waiting, one.waiting // 2048
-    for _ in range(n):
-        one.fill()
-    got = Counter()
-    for p in one.out:
-        got[p[5], p[7]] += p[2]
-    part = [got[s, "small"] / 2048 for s in {p[5] for p in one.out}]
-    assert max(abs(x - share) for x in part) < 0.02
-
-
-def test_a_target_mixture_holds_while_queues_last():
-    one = packing.Scheduler(0)
-    one.add(1, "a", 0.25, np.ones(100_000, "<u2"))
-    one.add(2, "b", 0.75, np.ones(100_000, "<u2"))
-    for _ in range(50):
-        one.fill()
+def test_packing_of_runs_that_one_library_refuses(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    text = "a" + " " * 2_000_000 + "b"
+    rows = packing.pack(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"), path, with_ids=True).collect()
+    got = [x for r in sorted(rows, key=lambda r: r.start) for x in r.ids]
+    assert got == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+
+
+def test_packing_takes_text_ids_and_repeats(spark):
+    docs = spark.createDataFrame([("a", "one two", None), ("a", "one two", None), (None, None, ""), ("b", "x " * 3000, "s")], "start string, text string, source string")
+    rows = packing.pack(docs, queries.tokenizer_path("byte_bpe_50k.json"), id_col="start").collect()
+    assert Counter(r[0] for r in rows if r[1] == 0) == {"a": 2, None: 1, "b": 1}
+
+
+def test_every_full_window_holds_the_mixture(spark):
+    """The registered query on 25 MB: both ends of a source's part of a window are within a token of where they should be."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op8_packing(spark, sf).groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+    total, full = Counter(), Counter()
+    for r in rows:
+        total[r.source] += r.n
+        full[r.sequence_id] += r.n
+    got, used = {(r.sequence_id, r.source): r.n for r in rows}, sum(total.values())
+    assert sorted(full) == list(range(len(full))) and all(n == 2048 for w, n in full.items() if w + 1 < len(full))
+    assert all(abs(got.get((w, s), 0) - 2048 * t / used) < 2 for w, n in full.items() if n == 2048 for s, t in total.items())
+
+
+def slow_round_robin(weights, tokens, window):
+    """Quotas of every window by walking through the queues, with what each is owed; the quantum of a window that a queue cannot fill goes to the others."""
+    from fractions import Fraction
+
+    left, out, until = list(tokens), [], 0
+    while any(left):
+        need, quota = window, [0] * len(left)
+        if not until:  # shares hold for so many windows, in which all queues surely last
+            now = [w if x else 0 for w, x in zip(weights, left)]
+            now = now if sum(now) else [int(x > 0) for x in left]
+            until, sums = min(x // Fraction(window * w, sum(now)) for x, w in zip(left, now) if w), [Fraction(0)] * len(left)
+        if until:
+            carried, given, until = Fraction(0), 0, until - 1
+            for q, w in enumerate(now):
+                carried += Fraction(window * w, sum(now))
+                new = sums[q] + carried  # what queues up to here are due since the last queue ran out
+                quota[q] = int(new) - int(sums[q]) - given
+                sums[q], given = new, given + quota[q]
+        else:
+            while need and any(left[q] - quota[q] for q in range(len(left))):
+                free = [w if left[q] > quota[q] else 0 for q, w in enumerate(now)]
+                free = free if sum(free) else [int(left[q] > quota[q]) for q in range(len(left))]
+                at, given = 0, 0
+                for q, w in enumerate(free):
+                    at += w
+                    n = need * at // sum(free) - given
+                    given += n
+                    quota[q] += min(n, left[q] - quota[q])
+                need = window - sum(quota)
+        left = [x - q for x, q in zip(left, quota)]
+        out.append(quota)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_schedule_is_a_round_robin_of_deficits(seed):
+    rng = np.random.default_rng(seed)
+    tokens = [int(x) for x in rng.integers(1, 4000, 6)] + [int(rng.integers(0, 3)), int(rng.integers(0, 50))]
+    weights = tokens[:7] + [0] if seed % 2 else [int(x) for x in rng.integers(50, 900, 6)] + [1, 0]
+    plan, want = packing.stretches(weights, tokens, 64), slow_round_robin(weights, tokens, 64)
+    got = np.zeros((len(want), len(tokens)), int)
+    for q, n in enumerate(tokens):
+        parts = sorted({0, n, *[int(x) for x in rng.integers(0, n + 1, 3)]})
+        for a, b in zip(parts, parts[1:]):  # whatever the chunks
+            at, window, offset = packing.cuts(plan, q, a, b, 64)
+            edges = np.clip(np.append(at, n if not len(at) else b), a, b)
+            for w, k in zip(window, np.diff(edges)):
+                got[w, q] += k
+            assert all(want[w][q] and sum(want[w][:q]) == o for w, o in zip(window, offset))
+    assert (got == want).all() and all(sum(x) == 64 for x in want[:-1])
+
+
+def test_a_target_mixture_holds_while_queues_last(spark):
+    docs = spark.createDataFrame([(k, "x " * 25_000, s) for k in range(4) for s in ("a", "b", "none")], "doc_id long, text string, source string")
+    target = spark.createDataFrame([("a", 0.25), ("b", 0.75), ("absent", 3.0)], "source string, share double")
+    rows = packing.pack(docs, queries.tokenizer_path("byte_bpe_50k.json"), target).collect()
+    n = sum(r.length for r in rows if r.source == "b")
+    whole = n // 1536
     got = Counter()
-    for p in one.out:
-        got[p[7]] += p[2]
-    assert got == {"a": 25_600, "b": 76_800}
+    for r in rows:
+        if r.sequence_id < whole:
+            got[r.source] += r.length
+    assert got == {"a": 512 * whole, "b": 1536 * whole}
+    last = min(r.sequence_id for r in rows if r.source == "none")
+    assert last >= max(r.sequence_id for r in rows if r.source == "a")
+    check_pieces([r for r in rows], [(r.doc_id, r.text) for r in docs.collect()])
 
 
 # web pages
