@@ -87,9 +87,35 @@ def test_shards(spark, data):
         by.setdefault(r.shard, []).append(r)
     assert set(by) == set(range(24)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
-    again = shard.interleave(docs.repartition(5)).collect()
-    key = lambda r: (r.doc_id, r["size"], r.text_crc32)
-    assert {key(r): r.shard for r in got if r.doc_id >= 1000 or r.doc_id != 7}.keys() == {key(r): r.shard for r in again if r.doc_id != 7}.keys()
+    key = lambda r: (r.doc_id, r["size"], r.text_crc32, r.source or "", r.shard, r.slot)
+    for other in (docs.repartition(5), docs.coalesce(1), docs.orderBy(F.desc("text"))):
+        assert Counter(map(key, shard.interleave(other).collect())) == Counter(map(key, got))
+
+
+def slow_order(spark, docs):
+    """Rows in the order of their fractional ranks, by one sort of each source and one of all."""
+    hashed = docs.select("doc_id", "source", F.length("text").alias("n"), F.shiftrightunsigned(F.xxhash64(F.lit(shard.SEED), "doc_id", F.coalesce("text", F.lit(""))), 1).alias("order")).collect()
+    by = {}
+    for r in sorted(hashed, key=lambda r: (r.order, r.doc_id)):
+        by.setdefault(r.source, []).append(r)
+    ranked = [((2.0 * k + 1) / (2.0 * len(rows)), "null" if s is None else "s" + s, r.order, r.doc_id) for s, rows in by.items() for k, r in enumerate(rows)]
+    return [x[3] for x in sorted(ranked)]
+
+
+@pytest.mark.parametrize("rows, bits", [(512, 16), (40, 3), (7, 16)])
+def test_shards_against_one_sort(spark, monkeypatch, rows, bits):
+    """Whatever the buckets, shards are cuts of the one order."""
+    monkeypatch.setattr(shard, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(shard, "BUCKET_BITS", bits)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('ab ', cast(id % 7 as int))").alias("text"), F.expr("case when id % 3 > 0 then 'hot' when id % 10 < 6 then 'b' end").alias("source"))
+    got = sorted((r.shard, r.slot, r.doc_id) for r in shard.interleave(docs, 7).collect())
+    assert [x[2] for x in got] == slow_order(spark, docs)
+
+
+def test_many_copies_of_one_row_are_spread(spark):
+    docs = spark.range(30_000).select(F.expr("case when id % 3 = 0 then 1L else id end").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"))
+    got = Counter(r.shard for r in shard.interleave(docs).collect())
+    assert set(got) == set(range(24)) and set(got.values()) == {1250}
 
 
 def test_shards_hold_the_mixture(spark):
