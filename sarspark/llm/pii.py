@@ -8,8 +8,9 @@ whatever the corpus size) estimates the labelers' reliabilities; its posteriors
 Bayes span classifier over shape, preceding word and length, and that classifier decides which
 loose candidates are added.
 
-Positions are running sums of the lengths of what lies between matches, so a text costs time
-linear in its length; no text is cut or sampled.
+Positions are running sums of the lengths of what lies between matches, overlaps are found by one
+pass over sorted spans, and texts are put together from blocks of characters, so a text costs time
+in proportion to its length and, but for sorting, to its matches; no text is cut or sampled.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ CUES = {
 }
 BUCKETS = 256
 CONTEXT = 48
+#: Elements and characters of a block.
+BLOCK, CHARS = 256, 1024
 
 
 def _digits(m: Column) -> Column:
@@ -98,6 +101,29 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out_type: str) -> Column:
+    """What ``step(state, item)``, a new state and a result, gives for each item in order.
+
+    Results are gathered in blocks, since appending to one long array would copy it each time. An
+    aggregate's end hands references on; a ``_let`` there would copy all that was gathered so far.
+    """
+
+    def one(acc: Column, x: Column) -> Column:
+        new, out = step(acc["state"], x)
+        return F.struct(new.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        none = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{out_type}>").alias("out"))
+        return F.aggregate(b, none, one, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def run(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["out"]))
+
+    return _let(items, run)
+
+
 def _holds(text: Column, kind: str, strict: bool) -> Column:
     hint = (STRICT if strict else LOOSE)[kind][1]
     return text.contains(hint) if hint == "@" else text.rlike(hint)
@@ -108,26 +134,16 @@ def _matches(text: Column, kind: str, strict: bool) -> Column:
     pattern = (STRICT if strict else LOOSE)[kind][0]
     item = "struct<start:int,end:int,gap:string,m:string,before:string,after:string>"
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + F.length(p["gap"])
         end = start + F.length(p["m"])
         made = F.struct(start.alias("start"), end.alias("end"), p["gap"].alias("gap"), p["m"].alias("m"), F.right(p["gap"], F.lit(CONTEXT)).alias("before"), F.left(p["after"], F.lit(1)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
-
-    def block(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(b, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{item}>").alias("out")), step)
-        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
-
-    def placed(pairs: Column) -> Column:
-        # a running sum in blocks, since appending to one long array would copy it each time
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / F.lit(256)).cast("int")), lambda b: F.slice(pairs, b * 256 + 1, F.lit(256)))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{item}>>").alias("out"))
-        return F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["out"]))
+        return end, made
 
     def zipped(parts: Column) -> Column:
         n = F.size(parts["found"])
         names = F.arrays_zip(F.slice(parts["gaps"], F.lit(1), n).alias("gap"), parts["found"].alias("m"), F.slice(parts["gaps"], F.lit(2), n).alias("after"))
-        return _let(names.cast("array<struct<gap:string,m:string,after:string>>"), placed)
+        return _scan(names.cast("array<struct<gap:string,m:string,after:string>>"), F.lit(0), step, item)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found"))
@@ -162,8 +178,17 @@ def candidates(text: Column) -> Column:
     loose = F.flatten(F.array(*[_candidates(text, k, False) for k in KINDS]))
 
     def free(both: Column) -> Column:
-        kept = F.filter(both["loose"], lambda s: ~F.exists(both["strict"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.array_sort(F.concat(both["strict"], kept))
+        # a strict span comes up at its start; a loose one at its end, where strict ones that start there do not touch it
+        met = F.transform(both["strict"], lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("strict"), s["end"].alias("other"), F.lit(-1).alias("i")))
+        asked = F.transform(both["loose"], lambda s, i: F.struct(s["end"].alias("at"), F.lit(0).alias("strict"), s["start"].alias("other"), i.alias("i")))
+
+        def step(reach: Column, e: Column) -> tuple[Column, Column]:
+            strict = e["strict"] == 1
+            return F.when(strict, F.greatest(reach, e["other"])).otherwise(reach), F.when(~strict & (reach <= e["other"]), e["i"]).otherwise(-1)
+
+        kept = F.filter(_scan(F.array_sort(F.concat(met, asked)), F.lit(0), step, "int"), lambda i: i >= 0)
+        whole = F.concat(both["strict"], F.transform(kept, lambda i: F.get(both["loose"], i)))
+        return F.array_sort(F.when(F.size(both["loose"]) > 0, whole).otherwise(both["strict"]))
 
     return _let(F.struct(strict.alias("strict"), loose.alias("loose")), free)
 
@@ -246,14 +271,24 @@ def masked(text: Column, found: Column) -> Column:
     """``text`` with each span replaced by ``<KIND>``; of overlapping spans the first to start covers all."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        part = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], part)).otherwise(acc["out"]).alias("out"))
+    def step(reach: Column, s: Column) -> tuple[Column, Column]:
+        new = F.struct(reach.alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+        return F.greatest(reach, s["end"]), F.when(s["start"] >= reach, new)
+
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / F.lit(CHARS)).cast("int")
+        n = F.floor((end - 1) / F.lit(CHARS)).cast("int") - first + 1
+        some = F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), F.pmod(start, F.lit(CHARS)) + 1, end - start)
+        return F.when(end > start, some).otherwise("")
+
+    def made(x: Column) -> Column:
+        parts = F.transform(x["parts"], lambda p: F.concat(cut(x["blocks"], p["from"], p["to"]), F.get(names, p["kind"])))
+        rest = cut(x["blocks"], F.array_max(F.transform(found, lambda s: s["end"])), F.length(text))
+        return F.array_join(F.concat(parts, F.array(rest)), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    made = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, made).otherwise(text)
+    parts = F.array_compact(_scan(found, F.lit(0), step, "struct<from:int,to:int,kind:int>"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))
+    return F.when(F.size(found) > 0, _let(F.struct(parts.alias("parts"), blocks.alias("blocks")), made)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
