@@ -1,7 +1,8 @@
 """Token counts of a unigram tokenizer without tokens: Aho-Corasick matches feed a Viterbi count.
 
 The vocabulary's matches in a word come from one automaton pass. The dynamic program carries,
-for each position, the best score and how many pieces the best path has, and no path. Ties are
+for each position, the best score and how many pieces the best path has, and no path. Positions
+further back than the longest piece are forgotten, so a long word takes no memory but for its text. Ties are
 those of the tokenizer: positions in order, earlier starts first, only a strictly better score
 replaces; a character that no piece is costs the least score less ten, and a run of such
 characters is one piece. The scores derive from the public vocabulary's rank (log of rank plus
@@ -42,6 +43,7 @@ class Counter:
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
+        self.longest = max((len(piece) for piece, _ in pieces[1:]), default=1)
         self.single = set()
         for piece, score in pieces[1:]:
             self.automaton.add_word(piece, (len(piece), score))
@@ -53,27 +55,32 @@ class Counter:
 
     def word(self, word: str) -> tuple[int, int]:
         """(pieces, unknown pieces) of one word."""
-        n = len(word)
-        best, count, unknown, last = [0.0] + [None] * n, [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ends: dict[int, list] = {}
-        for end, match in self.automaton.iter(word):
-            ends.setdefault(end + 1, []).append(match)
+        n, ring = len(word), self.longest + 1
+        best, count, unknown, last = [0.0] * ring, [0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(word)
+        at, match = next(matches, (n, None))
+        single, odd = self.single, self.unknown
         for end in range(1, n + 1):
+            here: list = []
+            while at < end:
+                here.append(match)
+                at, match = next(matches, (n, None))
             top, start, known = None, end - 1, True
-            for size, score in sorted(ends.get(end, ()), reverse=True):
-                total = best[end - size] + score
+            if len(here) > 1:
+                here.sort(reverse=True)
+            for size, score in here:
+                total = best[(end - size) % ring] + score
                 if top is None or total > top:
                     top, start = total, end - size
-            if word[end - 1] not in self.single:
-                total = best[end - 1] + self.unknown
+            if word[end - 1] not in single:
+                total = best[(end - 1) % ring] + odd
                 if top is None or total > top:
                     top, start, known = total, end - 1, False
-            best[end] = top
+            start, now = start % ring, end % ring
             fused = not known and last[start]
-            count[end] = count[start] + (not fused)
-            unknown[end] = unknown[start] + (not known and not fused)
-            last[end] = not known
-        return count[n], unknown[n]
+            best[now], last[now] = top, not known
+            count[now], unknown[now] = count[start] + (not fused), unknown[start] + (not known and not fused)
+        return count[n % ring], unknown[n % ring]
 
     def text(self, text: str) -> tuple[int, int]:
         """(pieces, unknown pieces); words end before each space, which becomes a mark in front."""
@@ -104,8 +111,10 @@ def _counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_unknown and n_chars of every row.
 
-    Null and empty texts have no tokens; repeated rows each get a row; other columns are ignored.
+    Null and empty texts have no tokens; repeated rows each get a row; other columns are ignored;
+    an empty table gives an empty result; ids may be of any simple type.
     """
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary_path)
@@ -114,5 +123,5 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             made = np.array(rows, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, i].copy()) for i in range(3)]], names=["id", "n_tokens", "n_unknown", "n_chars"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return base.mapInArrow(run, "id long, n_tokens long, n_unknown long, n_chars long").withColumnRenamed("id", id_col)
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return base.mapInArrow(run, f"id {id_type}, n_tokens long, n_unknown long, n_chars long").withColumnRenamed("id", id_col)
