@@ -96,10 +96,11 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op9_decontamination": f"""
             WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-            ds AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM d), s AS (SELECT item_id, {_SHINGLES} AS l FROM i),
+            ds AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM d), s AS (SELECT item_id, {_SHINGLES} AS l FROM i WHERE len(w) > 4),
             e AS (SELECT item_id, len(l) AS n_item, unnest(l) AS s FROM s),
-            c AS (SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM (SELECT DISTINCT doc_id, s FROM ds) ds JOIN e USING (s) GROUP BY ALL)
-            SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment FROM c WHERE n_shared >= 0.8 * n_item
+            c AS (SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM (SELECT DISTINCT doc_id, s FROM ds) ds JOIN e USING (s) GROUP BY ALL),
+            f AS (SELECT DISTINCT doc_id, item_id, 1::BIGINT AS n_item, 1::BIGINT AS n_shared FROM d, i WHERE len(i.w) < 5 AND i.w[1] <> '' AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' '))
+            SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment FROM (SELECT * FROM c WHERE n_shared >= 0.8 * n_item UNION ALL BY NAME SELECT * FROM f)
         """,
         "op10_urls": f"""
             WITH u AS (SELECT row_number() OVER () AS n, page_id, {host} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
