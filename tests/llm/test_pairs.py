@@ -105,30 +105,57 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     assert kept == [(2, "else"), *[(2, "word")] * (1 if near else 2), (5, "thin")]
 
 
-def slow_shingles(text):
+def slow_shingles(text, size=5):
     w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
-    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    return {" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
+
+
+def slow_held(doc, item):
+    """(shared, size) of an item's shingles in a document; an item of under five words is one shingle."""
+    size = min(5, len(re.sub(r"[\W_]+", " ", (item or "").lower()).split()))
+    s = slow_shingles(item, max(size, 1))
+    return len(s & slow_shingles(doc, max(size, 1))), len(s)
+
+
+SHORT = [(710, "capital of france"), (711, "The Capital"), (712, "capital of france answer"), (713, "never-there"), (714, "a b c d")]
+HOLD = [(9110, "trivia what is the capital of france answer paris"), (9111, "the capital"), (9112, "capital of"), (9113, "of the capitals"), (9114, "x a b c d")]
 
 
 def test_decontamination_against_all_pairs(spark, data):
     docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     extra = [(i.item_id, i.text) for i in items.limit(4).collect()]
     cut = [(9000 + k, "before here " + " ".join(t.split()[k:]) + " and after") for k, t in extra]
-    docs = docs.select("doc_id", "text").union(spark.createDataFrame(cut + [(9100, None), (9101, ""), (9102, "tiny"), (9103, "tiny"), (None, extra[0][1])], "doc_id long, text string"))
-    items = items.select("item_id", "text").union(spark.createDataFrame([(700, None), (701, " , "), (702, "Tiny!"), (703, extra[0][1])], "item_id long, text string"))
-    d = [(r.doc_id, slow_shingles(r.text)) for r in docs.collect()]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(cut + HOLD + [(9100, None), (9101, ""), (9102, "tiny"), (9103, "tiny"), (None, extra[0][1])], "doc_id long, text string"))
+    items = items.select("item_id", "text").union(spark.createDataFrame(SHORT + [(700, None), (701, " , "), (702, "Tiny!"), (703, extra[0][1])], "item_id long, text string"))
+    d = [(r.doc_id, r.text) for r in docs.collect()]
     want = set()
     for i in items.collect():
-        s = slow_shingles(i.text)
-        want |= {(x, i.item_id, len(s & y), len(s)) for x, y in d if s and len(s & y) >= 0.8 * len(s) - 1e-9}
+        for x, y in d:
+            shared, n = slow_held(y, i.text)
+            if n and shared >= 0.8 * n - 1e-9:
+                want.add((x, i.item_id, shared, n))
     got = decontam.contained(docs, items).collect()
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got} == want and len(got) == len(want)
-    assert {(9102, 702), (9103, 702)} <= {(a, b) for a, b, _, _ in want}
+    assert {(9102, 702), (9103, 702), (9110, 710), (9110, 711), (9110, 712), (9111, 711), (9114, 714)} <= {(a, b) for a, b, _, _ in want}
+    assert not {9112, 9113} & {a for a, _, _, _ in want}
     left = decontam.drop_contaminated(docs, items)
     held = {a for a, _, _, _ in want} - {None}
     assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(x or -1 for x, _ in d if x not in held)
 
 
+def test_decontamination_sql_finds_short_items(spark, tmp_path):
+    import duckdb
+
+    from sarspark.llm import queries
+
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", HOLD), ("benchmark", "item_id", [*SHORT, (1, "what is the capital of france"), (2, None), (3, "")])):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r[c] for c in ("doc_id", "item_id", "n_shared", "n_item")) for r in queries.op9_decontamination(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"SELECT doc_id, item_id, n_shared, n_item FROM ({queries.oracle_sql()['op9_decontamination']})").fetchall()) and len(got) == 6
+
+
 def test_decontamination_judges_each_text_of_an_id(spark):
     item = "one two three four five six seven eight"
     docs = frame(spark, [f"a {item} b", "a clean text that holds nothing of it", item, "clean too"], [1, 1, 2, 3])
@@ -195,6 +222,38 @@ def test_redaction(spark):
     assert pii.redact(docs.limit(0)).count() == 0 and pii.spans(docs.limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """A directory of 15,000 matches: results are those of the same lines alone, and it takes seconds, not minutes."""
+    import time
+
+    line, n = "é Ann +1 555 123 4567, ann@x.org, (212) 555-1234, 10.0.0.1; 4111 1111 1111 1111\n", 3000
+    docs = spark.createDataFrame([(1, line * n), (2, line)], "doc_id long, text string")
+    began = time.perf_counter()
+    text = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert text[1] == text[2] * n and text[2] == "é Ann <PHONE>, <EMAIL>, <PHONE>, <IP>; <CARD>\n"
+    found = {r.doc_id: [(s.start, s.kind, s.end, s.base) for s in r.s] for r in docs.select("doc_id", pii.candidates(F.col("text")).alias("s")).collect()}
+    assert len(found[2]) == 5 and found[1] == [(a + i * len(line), k, b + i * len(line), x) for i in range(n) for a, k, b, x in found[2]]
+    assert time.perf_counter() - began < 90
+
+
+def test_masks_of_overlapping_spans(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        text = "".join(rng.choice(list("aé😀 \n."), int(rng.integers(1, 5000))))
+        ends = [sorted(int(x) for x in rng.integers(0, len(text) + 1, 2)) for _ in range(k)]
+        rows.append((k, text, sorted((a, int(rng.integers(0, 4)), b) for a, b in ends if a < b)))
+    df = spark.createDataFrame(rows, "id int, text string, found array<struct<start:int,kind:int,end:int>>")
+    for r in df.select("id", pii.masked(F.col("text"), F.col("found")).alias("m")).collect():
+        _, text, found = rows[r.id]
+        want, at = "", 0
+        for a, kind, b in found:
+            if a >= at:
+                want += text[at:a] + f"<{pii.KINDS[kind].upper()}>"
+            at = max(at, b)
+        assert r.m == want + text[at:]
+
+
 def test_em_lets_reliable_labelers_win():
     from sarspark.llm.quality import estimate
 

@@ -145,6 +145,27 @@ def test_token_counts_are_those_of_the_library(spark, data):
     assert tokencount.count_tokens(docs.limit(0), path).count() == 0
 
 
+def test_a_word_of_any_length_takes_little_memory():
+    import tracemalloc
+
+    one = tokencount._counter(queries.tokenizer_path("piece_bpe_32k.model"))
+    base, took = "日本語abcdefghij", []
+    for n in (2_000, 40_000):
+        tracemalloc.start()
+        one.word(base * n)
+        took.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert took[1] - took[0] < 8 * 38_000 * len(base)  # the automaton's copy of the word, and no lists
+    part = one.word(tokencount.SPACE + base * 500)[0]
+    assert abs(one.text(base * 40_000)[0] - 80 * part) <= 160
+
+
+def test_token_counts_take_text_ids_and_other_columns(spark):
+    docs = spark.createDataFrame([("a", "one two", 1), (None, None, 2)], "n_tokens string, text string, N_Chars int")
+    got = tokencount.count_tokens(docs.withColumnRenamed("n_tokens", "name"), queries.tokenizer_path("piece_bpe_32k.model"), "name").collect()
+    assert [(r.name, r.n_chars) for r in got] == [("a", 7), (None, 0)]
+
+
 def test_ties_go_to_the_earlier_start():
     from tokenizers import Tokenizer, models
 
