@@ -5,8 +5,8 @@ adds the densities of its child blocks. The block with the greatest sum is the m
 the least density on its path from body is the threshold that blocks beside that path must
 reach to be kept with it. Where that path meets an article or main, the whole element is kept.
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are no content and are taken out before; a block that only its name calls so stays if it
-holds the page's main text.
+comments are no content and are taken out before; a form, or a block that only its name calls so,
+stays if it holds the page's main text.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from ._common import text_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object audio video canvas map datalist".split())
-NOISE = frozenset("nav footer aside form button select textarea fieldset menu dialog input label".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+NOISE = frozenset("nav footer aside button select textarea menu dialog input".split())
+#: Noise, unless it holds the page's main text; pages made on a server often lie in one form.
+SOFT = frozenset("form fieldset".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What may stand in a head; anything else ends one whose end tag is left out.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -44,6 +46,8 @@ LAYOUT = frozenset("has with no without".split())
 COMMENTS = ("comment", "reply", "disqus", "respond")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPACES = re.compile(r"\s+")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG = re.compile(r"<[A-Za-z/!?]")
 
 
 class Node:
@@ -67,6 +71,8 @@ def _noisy(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -> bool:
         return True
     for name, value in attrs:
         value = (value or "").lower()
+        if tag == "label" and name == "for":  # the caption of a field; other labels are words of a sentence
+            return True
         if name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
         if name == "role" and value in NOISE_ROLES:
@@ -89,7 +95,7 @@ def _named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> str:
                     if any(p.startswith(COMMENTS) or p == "replies" for p in parts):
                         return "comments"
                     found = "noise" if found == "noise" or NOISE_WORDS.issuperset(filter(None, parts)) else "part"
-    return found
+    return found or ("part" if tag in SOFT else "")
 
 
 class Tree(HTMLParser):
@@ -102,6 +108,23 @@ class Tree(HTMLParser):
         self.named: list[tuple[Node, int]] = []  # open noise by name, with the open articles around it
         self.soft = False  # whether any element is noise by name
 
+    def feed(self, data: str) -> None:
+        """The page, without a tag that its end cuts off: every ``<`` of a tag then has a ``>`` behind it."""
+        cut = _TAG.search(data, data.rfind(">") + 1)
+        super().feed(data[: cut.start()] if cut else data)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """The end of a comment; one that is never closed takes the rest of the page, so it is looked for once."""
+        for short in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(short, i):
+                return i + len(short)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Other declarations, and sections like CDATA, end at the next ``>``."""
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def _leave(self, node: Node) -> None:
         """Close the open elements up to and with ``node``."""
         while self.at is not node.parent:
@@ -326,14 +349,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id_col, url_col, text and n_chars of every page.
 
     Null and empty html have an empty text, as have pages without text. Ties between blocks go
-    to the first in the page. Repeated rows each get a row; other columns are ignored.
+    to the first in the page. Repeated rows each get a row; other columns are ignored; an empty
+    table gives an empty result; ids may be of any simple type.
     """
+    id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
-    out = base.mapInArrow(run, "id long, url string, text string, n_chars long")
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
+    out = base.mapInArrow(run, f"id {id_type}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

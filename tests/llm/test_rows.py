@@ -388,6 +388,46 @@ def test_main_text_in_a_block_named_like_noise(page, want):
     assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
 
 
+FORMS = [
+    (f"<form id=aspnetForm><input type=hidden value=x><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><label for=q>Name</label><input id=q><button>Go</button></form>", ["T", LONG, LONG]),
+    (f"<form><div><p>{LONG}</p><p>{LONG}</p></div></form><footer>foot</footer>", [LONG, LONG]),
+    (f'<form><nav>menu</nav><article><h1>T</h1><p>{LONG}</p><form class="signup"><p>{LONG}</p></form></article></form>', ["T", LONG]),
+    (f'<div><h1>T</h1><p>{LONG}</p></div><form class="search-form"><fieldset>{SAID}</fieldset></form>', ["T", LONG]),
+    (f"<article><p>{LONG}</p><form><p>{LONG}</p><p>{LONG}</p></form></article>", [LONG]),
+    (f"<div><p>{LONG} <label>inner</label> and on</p></div>", [f"{LONG} inner and on"]),
+    (f'<div class="elementor-widget-container"><h1>T</h1><p>{LONG}</p></div>', ["T", LONG]),
+    (f'<div class="elementor-widget-container"><p>{LONG}</p></div>', [LONG]),
+    (f'<div class="research search-result"><p>{LONG}</p></div>', [LONG]),
+    (f"<article><h1>T</h1><p>Short lead.</p><div><p>{LONG}</p><p>{LONG}</p></div><p>Short end.</p></article>", ["T", "Short lead.", LONG, LONG, "Short end."]),
+]
+
+
+@pytest.mark.parametrize("page, want", FORMS)
+def test_main_text_in_and_beside_forms(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
+@pytest.mark.parametrize("bomb", ["<!--", "<!-- <p>", "<![CDATA[", "<!doctype", "<?x ", "<a ", "</", "</p ", "<!--a--", "<b c='", "&#", "&am", "<p>"])
+def test_main_text_of_unclosed_markup_takes_linear_time(bomb):
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text(f"<p>one <b>two</b></p>{bomb * 20_000}").startswith("one two")
+    assert html_text.main_text(f"<p>one</p><!-- {bomb * 20_000} --><p>two</p>").startswith("one")
+    assert time.perf_counter() - began < 5
+
+
+def test_main_text_around_comments():
+    assert html_text.main_text("<p>a</p><!--> <p>b</p><!---><p>c</p><!-- x --!><p>d</p><!-- <p>no</p>") == "a\nb\nc\nd"
+    assert html_text.main_text("<p>a</p><![CDATA[x]]><p>b</p><p>c <a href='x") == "a\nb\nc"
+
+
+def test_pages_with_other_ids_and_columns(spark):
+    pages = spark.createDataFrame([("x", "u", "<p>a</p>", 1, 2), (None, None, None, 1, 2)], "name string, url string, html string, TEXT int, n_chars int")
+    assert [tuple(r) for r in html_text.extract(pages, "name").collect()] == [("x", "u", "a", 1), (None, None, "", 0)]
+    assert html_text.extract(pages.limit(0), "name").count() == 0
+
+
 def test_main_text_takes_linear_time():
     many = "<div>a line of text</div>" * 30_000
     assert html_text.main_text(f"<div><p>best</p>{many}</div>").count("line") == 30_000
