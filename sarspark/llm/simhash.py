@@ -61,8 +61,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return base.mapInArrow(run, "id long, fp long")
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return base.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -129,7 +129,7 @@ def edges_of(distinct: DataFrame) -> DataFrame:
     """(u, v) edges with the same components as all links between the distinct ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last run, which the next batch may continue
+        held: list = []  # parts of the last run, which the next batch may continue
         out: list[tuple[int, int]] = []
 
         def close(variant: np.ndarray, block: np.ndarray, fp: np.ndarray) -> None:
@@ -153,17 +153,20 @@ def edges_of(distinct: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
             variant, block, _ = now
             last = np.flatnonzero((variant != variant[-1]) | (block != block[-1]))
             cut = last[-1] + 1 if len(last) else 0
-            close(*[x[:cut] for x in now])
-            held = [x[cut:] for x in now]
+            if held and (cut or (variant[0], block[0]) != (held[0][0][0], held[0][1][0])):
+                # a run that goes on over many batches is put together once
+                close(*[np.concatenate([*(h[i] for h in held), now[i][:cut]]) for i in range(3)])
+                held = []
+            elif cut:
+                close(*[x[:cut] for x in now])
+            held.append([x[cut:] for x in now])
             if len(out) > 50_000:
                 yield emit()
-        if held is not None:
-            close(*held)
+        if held:
+            close(*[np.concatenate([h[i] for h in held]) for i in range(3)])
         if out:
             yield emit()
 
@@ -196,19 +199,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with the document of least id of each component, once; all columns stay.
 
     Texts of one id that lie in different components are told apart by their fingerprints, so
-    each component keeps its own. Rows without an id cannot be told apart and all stay.
+    each component keeps its own; rows that repeat an id and a fingerprint are kept once. Rows
+    without an id cannot be told apart and all stay. Texts of ids that occur once move only if the
+    narrow table of ids to drop outgrows a broadcast.
     """
     mark, bits = spare(docs.columns, "kept_id"), spare(docs.columns, "kept_fp")
     of_fp = spare(docs.columns, "kept_of")
-    known, unknown = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    known = docs.where(F.col(id_col).isNotNull())
     found = Written(_grouped(known, id_col, text_col, "root")).df
-    kept = Written(found.where("id = component_id").groupBy("id", "root").agg(F.min("fp").alias(of_fp)).select(F.col("id").alias(mark), of_fp)).df
-    several = Written(found.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("id").alias(mark))).df
+    ids = found.groupBy("id").agg(F.count("*").alias("n"), F.max("component_id").alias("least")).where("n > 1 or least <> id")
+    gone = Written(ids.select(F.col("id").alias(mark), (F.col("n") > 1).alias(bits))).df
     same = F.col(id_col) == F.col(mark)
-    first = known.join(kept.select(mark), same, "left_semi")
-    if several.isEmpty():
-        return first.dropDuplicates([id_col]).unionByName(unknown)
+    once = docs.join(gone.select(mark), same, "left_anti")
+    again = gone.where(F.col(bits)).select(mark)
+    if again.isEmpty():
+        return once
+    kept = Written(found.where("id = component_id").groupBy("id", "root").agg(F.min("fp").alias(of_fp)).select(F.col("id").alias(mark), of_fp)).df
     printed = F.pandas_udf(_print_all, "long")
-    more = first.join(several, same, "left_semi").withColumn(bits, printed(text_of(text_col)))
+    more = known.join(again, same, "left_semi").withColumn(bits, printed(text_of(text_col)))
     more = more.join(kept, same & (F.col(bits) == F.col(of_fp)), "left_semi").dropDuplicates([id_col, bits]).drop(bits)
-    return first.join(several, same, "left_anti").dropDuplicates([id_col]).unionByName(more).unionByName(unknown)
+    return once.unionByName(more)

@@ -105,6 +105,28 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     assert kept == [(2, "else"), *[(2, "word")] * (1 if near else 2), (5, "thin")]
 
 
+def test_simhash_of_text_ids(spark):
+    text = " ".join(f"word{k}" for k in range(100))
+    docs = spark.createDataFrame([("b", text, 1), ("a", text, 2), (None, text, 3), ("c", None, 4)], "name string, text string, FP int")
+    assert sorted((r.name or "", r.component_id) for r in simhash.near_duplicates(docs, "name").collect()) == [("", "a"), ("a", "a"), ("b", "a"), ("c", "c")]
+    assert sorted(r.name or "" for r in simhash.keep_one(docs, "name").collect()) == ["", "a", "c"]
+
+
+def test_runs_that_span_batches(spark):
+    """Equal kept bits over many small batches are one run."""
+    base = 0x0123456789ABCDEF
+    fps = [base ^ x for x in range(300)] + [base ^ (x << 43) for x in range(1, 300)]
+    want = slow_components(set(fps))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = components.components(simhash.edges_of(spark.createDataFrame([(simhash._signed(f),) for f in set(fps)], "fp long"))).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {r.node % (1 << 64): r.root for r in rows}
+    assert all((got.get(a, a) == got.get(b, b)) == (want[a] == want[b]) for a in fps[::29] for b in fps)
+
+
 def slow_shingles(text, size=5):
     w = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
     return {" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
