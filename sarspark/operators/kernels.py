@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import Written
+from .components import components
 
 
 def fast_length(n: int) -> int:
@@ -125,22 +127,32 @@ def chi2_1(confidence: float) -> float:
     return NormalDist().inv_cdf((1 + confidence) / 2) ** 2
 
 
-def coherence_matrix(z: np.ndarray) -> np.ndarray:
-    """Complex coherence of (images, pixels); 0 where an image has no power."""
-    norm = np.sqrt((np.abs(z) ** 2).sum(1))
-    under = np.outer(norm, norm)
-    top = z @ z.conj().T
+def coherence_matrix(z: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """Complex coherence of (..., images, pixels), over the pixels that ``keep`` (..., pixels) marks; 0 where an image has no power."""
+    kept = z if keep is None else np.where(keep[..., None, :], z, 0)
+    norm = np.sqrt((np.abs(kept) ** 2).sum(-1))
+    under = norm[..., :, None] * norm[..., None, :]
+    top = kept @ np.swapaxes(kept.conj(), -1, -2)
     return np.divide(top, under, out=np.zeros_like(top), where=under > 0)
 
 
 def emi_phases(coh: np.ndarray) -> np.ndarray:
-    """Phases relative to the first image from the eigenvector of inv(|C|) * C of least magnitude."""
-    n = len(coh)
+    """Phases from the eigenvector of inv(|C|) * C of least magnitude; matrices may be stacked.
+
+    They are relative to the first image with power; one without has phase 0 and does not count.
+    """
+    n = coh.shape[-1]
     base = np.abs(coh) + 1e-6 * np.eye(n)
     w = np.linalg.inv(base) * coh
-    values, vectors = np.linalg.eigh((w + w.conj().T) / 2)
-    v = vectors[:, np.argmin(np.abs(values))]
-    return np.angle(v * np.conj(v[0]))
+    w = (w + np.swapaxes(w.conj(), -1, -2)) / 2
+    dead = np.abs(np.diagonal(coh, axis1=-2, axis2=-1)) == 0
+    far = 1 + np.linalg.norm(w, axis=(-2, -1))[..., None]  # beyond all other values, so never the least
+    w = w + np.where(dead, far, 0)[..., None] * np.eye(n)
+    values, vectors = np.linalg.eigh(w)
+    at = np.argmin(np.abs(values), axis=-1)[..., None, None]
+    v = np.take_along_axis(vectors, at, axis=-1)[..., 0]
+    first = np.take_along_axis(v, np.argmin(dead, axis=-1)[..., None], axis=-1)
+    return np.where(dead, 0.0, np.angle(v * np.conj(first)))
 
 
 def emi(stack: DataFrame) -> DataFrame:
@@ -169,68 +181,94 @@ def coherence_elements(stack: DataFrame) -> DataFrame:
     return sums.select("i", "j", *[F.when(under > 0, F.col(v) / under).otherwise(0.0).alias(v) for v in ("re", "im")])
 
 
-def _grow(near: np.ndarray, at: tuple[int, int]) -> np.ndarray:
+#: Samples of all windows that one step of the linking holds (16 bytes each, some copies).
+LINK_SAMPLES = 1 << 21
+
+
+def _grown(near: np.ndarray) -> np.ndarray:
+    """Of each window (windows, rows, columns) the marked pixels that touch its middle, over corners too, through marked ones."""
+    h, w = near.shape[1] // 2, near.shape[2] // 2
     found = np.zeros_like(near)
-    found[at] = near[at]
-    while True:
-        p = np.pad(found, 1)
-        wide = near & np.logical_or.reduce([p[i : i + near.shape[0], j : j + near.shape[1]] for i in range(3) for j in range(3)])
-        if (wide == found).all():
-            return found
-        found = wide
+    found[:, h, w] = near[:, h, w]
+    going = np.arange(len(near))
+    while len(going):
+        wide = found[going]
+        for axis in (1, 2):  # a step to each side along one axis, then along the other
+            new = wide.copy()
+            lo, hi = [slice(None)] * 3, [slice(None)] * 3
+            lo[axis], hi[axis] = slice(None, -1), slice(1, None)
+            new[tuple(hi)] |= wide[tuple(lo)]
+            new[tuple(lo)] |= wide[tuple(hi)]
+            wide = new
+        wide &= near[going]
+        more = (wide != found[going]).any((1, 2))
+        found[going] = wide
+        going = going[more]
+    return found
 
 
 def link_tile(z: np.ndarray, r0: int, r1: int, c0: int, c1: int, half: int, threshold: float) -> tuple[np.ndarray, ...]:
-    """Phases (t, h, w), amplitude, coherence of the pixels [r0, r1) x [c0, c1) of a tile with halo."""
-    n = len(z)
-    var = (np.abs(z) ** 2).sum(0) / (2 * n)
-    h, w = r1 - r0, c1 - c0
-    phase, amp, coh = np.zeros((n, h, w)), np.zeros((n, h, w)), np.zeros((n, h, w))
-    for i in range(r0, r1):
-        for j in range(c0, c1):
-            a, b, d, e = max(i - half, 0), min(i + half + 1, var.shape[0]), max(j - half, 0), min(j + half + 1, var.shape[1])
-            window, p = var[a:b, d:e], var[i, j]
-            ok = (window > 0) & (p > 0)
-            with np.errstate(all="ignore"):
-                test = 2 * np.log((window + p) / 2) - np.log(window) - np.log(p)
-            near = _grow(ok & (np.nan_to_num(test, nan=np.inf) < threshold), (i - a, j - d))
-            out = (slice(None), i - r0, j - c0)
-            if near.sum() < 2:
-                phase[out], amp[out], coh[out] = np.angle(z[:, i, j]), np.abs(z[:, i, j]), 0.0
-                continue
-            chosen = z[:, a:b, d:e][:, near]
-            c = coherence_matrix(chosen)
-            phase[out], amp[out], coh[out] = emi_phases(c), np.abs(chosen).mean(1), np.abs(c[0])
-    return phase, amp, coh
+    """Phases (t, h, w), amplitude, coherence of the pixels [r0, r1) x [c0, c1) of a tile with halo; windows go by the hundred."""
+    n, side = len(z), 2 * half + 1
+    view = np.lib.stride_tricks.sliding_window_view
+    edge = [(half, half), (half, half)]
+    padded = np.pad(z, [(0, 0), *edge])[:, r0 : r1 + 2 * half, c0 : c1 + 2 * half]
+    var = (np.abs(padded) ** 2).sum(0) / (2 * n)
+    samples, power = view(padded, (side, side), axis=(1, 2)), view(var, (side, side))
+    shape = (r1 - r0, c1 - c0)
+    own = z[:, r0:r1, c0:c1].reshape(n, -1)
+    phase, amp, coh = np.angle(own), np.abs(own), np.zeros(own.shape)
+    step = max(1, LINK_SAMPLES // (n * side * side))
+    for at in range(0, own.shape[1], step):
+        i, j = np.divmod(np.arange(at, min(at + step, own.shape[1])), shape[1])
+        p = power[i, j]
+        mine = p[:, half, half][:, None, None]
+        with np.errstate(all="ignore"):
+            test = 2 * np.log((p + mine) / 2) - np.log(p) - np.log(mine)
+        near = _grown((p > 0) & (mine > 0) & (np.nan_to_num(test, nan=np.inf) < threshold)).reshape(len(i), -1)
+        some = near.sum(1) >= 2
+        if not some.any():
+            continue
+        near = near[some]
+        found = samples[:, i[some], j[some]].transpose(1, 0, 2, 3).reshape(len(near), n, -1)
+        c = coherence_matrix(found, near)
+        where = at + np.flatnonzero(some)
+        phase[:, where], coh[:, where] = emi_phases(c).T, np.abs(c[:, 0]).T
+        amp[:, where] = (np.where(near[:, None], np.abs(found), 0).sum(2) / near.sum(1)[:, None]).T
+    return tuple(x.reshape(n, *shape) for x in (phase, amp, coh))
 
 
 def phase_link(stack: DataFrame, half: int = 11, confidence: float = 0.95, tile: int = 32) -> DataFrame:
-    """(t, r, c, re, im, coh): linked phases per pixel from tiles with a halo of ``half`` pixels.
+    """(t, r, c, re, im, coh): linked phases of each sample's pixel from tiles with a halo of ``half`` pixels.
 
     Border pixels are copied to the tiles whose halo holds them; a tile is one group, so a scene of
     any size runs in parallel. A pixel without homogeneous neighbours keeps its sample, coherence 0.
+    Times are kept as they are; a tile that lacks an acquisition is linked from those that it has,
+    and samples that are not there get no row.
     """
-    n = stack.agg(F.countDistinct("t")).first()[0]
-    threshold = chi2_1(confidence) / (2 * max(n, 1))
     spread = lambda c: F.sequence(F.expr(f"greatest({c} - {half}, 0L) div {tile}"), F.expr(f"({c} + {half}) div {tile}"))
     copied = stack.select("t", "r", "c", "re", "im", F.explode(spread("r")).alias("ty")).select("*", F.explode(spread("c")).alias("tx"))
+    kind = stack.schema["t"].dataType.simpleString()
+    names = ("t", "r", "c", "re", "im", "coh")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(g["ty"].iloc[0]), int(g["tx"].iloc[0])
         ra, ca = int(g["r"].min()), int(g["c"].min())
-        z = np.zeros((n, int(g["r"].max()) - ra + 1, int(g["c"].max()) - ca + 1), complex)
-        t = np.unique(g["t"].to_numpy(), return_inverse=True)[1]
-        z[t, g["r"] - ra, g["c"] - ca] = g["re"] + 1j * g["im"]
-        r0, c0 = ty * tile - ra, tx * tile - ca
-        r1, c1 = min(r0 + tile, z.shape[1]), min(c0 + tile, z.shape[2])
+        times, t = np.unique(g["t"].to_numpy(), return_inverse=True)
+        shape = (len(times), int(g["r"].max()) - ra + 1, int(g["c"].max()) - ca + 1)
+        z, there = np.zeros(shape, complex), np.zeros(shape, bool)
+        at = (t, g["r"].to_numpy() - ra, g["c"].to_numpy() - ca)
+        z[at], there[at] = g["re"] + 1j * g["im"], True
+        r0, c0 = max(ty * tile - ra, 0), max(tx * tile - ca, 0)
+        r1, c1 = min((ty + 1) * tile - ra, shape[1]), min((tx + 1) * tile - ca, shape[2])
         if r0 >= r1 or c0 >= c1:
-            return pd.DataFrame({k: [] for k in ("t", "r", "c", "re", "im", "coh")})
-        phase, amp, coh = link_tile(z, r0, r1, c0, c1, half, threshold)
-        tt, rr, cc = np.meshgrid(np.arange(n), np.arange(r0, r1) + ra, np.arange(c0, c1) + ca, indexing="ij")
-        linked = amp * np.exp(1j * phase)
-        return pd.DataFrame({"t": tt.ravel(), "r": rr.ravel(), "c": cc.ravel(), "re": linked.real.ravel(), "im": linked.imag.ravel(), "coh": coh.ravel()})
+            return pd.DataFrame({k: [] for k in names})
+        phase, amp, coh = link_tile(np.nan_to_num(z), r0, r1, c0, c1, half, chi2_1(confidence) / (2 * len(times)))
+        k, i, j = np.nonzero(there[:, r0:r1, c0:c1])
+        linked = (amp * np.exp(1j * phase))[k, i, j]
+        return pd.DataFrame({"t": times[k], "r": i + r0 + ra, "c": j + c0 + ca, "re": linked.real, "im": linked.imag, "coh": coh[k, i, j]})
 
-    return copied.groupBy("ty", "tx").applyInPandas(run, "t long, r long, c long, re double, im double, coh double")
+    return copied.groupBy("ty", "tx").applyInPandas(run, f"t {kind}, r long, c long, re double, im double, coh double")
 
 
 def labels(mask: np.ndarray) -> np.ndarray:
@@ -251,26 +289,20 @@ def labels(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def _number(links: pd.DataFrame) -> pd.DataFrame:
-    """(seed, number): components of the links (u, v), numbered by their least seed."""
-    seeds, at = np.unique(np.concatenate([links["u"], links["v"]]), return_inverse=True)
-    u, v = at[: len(links)], at[len(links) :]
-    root, last = np.arange(len(seeds)), None
-    while last is None or (root != last).any():
-        last, low = root, np.minimum(root[u], root[v])
-        root = last.copy()
-        np.minimum.at(root, last[u], low)
-        np.minimum.at(root, last[v], low)
-        while (root[root] != root).any():
-            root = root[root]
-    return pd.DataFrame({"seed": seeds, "number": np.unique(root, return_inverse=True)[1] + 1})
+def _numbered(roots: DataFrame) -> DataFrame:
+    """(root, number): distinct roots counted from 1 in their order; only counts of sorted partitions meet in one task."""
+    placed = Written(roots.orderBy("root").select("root", F.monotonically_increasing_id().alias("at"))).df
+    placed = placed.select("root", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("k"))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("part").alias("of"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(before, F.col("part") == F.col("of")).select("root", (F.col("before") + F.col("k") + 1).alias("number"))
 
 
 def connected(px: DataFrame, tile: int = 256) -> DataFrame:
     """(r, c, conncomp) of (r, c, ok): 4-connected components of good pixels from 1 in scan order, else 0.
 
     Tiles are labelled alone; a label is the first pixel of its component. Neighbours across a tile's
-    edge link labels. Only the labels and these links meet in one group, never the pixels.
+    edge link labels, and the links' components come from stars, so neither pixels nor labels meet in one group.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -286,39 +318,45 @@ def connected(px: DataFrame, tile: int = 256) -> DataFrame:
         return pd.DataFrame({"r": r, "c": c, "seed": np.where(ok, first[found[r - r0, c - c0]], -1 - (r << 32) - c)})
 
     by = px.select(F.col("r").cast("long"), F.col("c").cast("long"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    labelled = by.withColumn("ty", F.expr(f"r div {tile}")).withColumn("tx", F.expr(f"c div {tile}")).groupBy("ty", "tx").applyInPandas(run, "r long, c long, seed long")
+    labelled = Written(by.withColumn("ty", F.expr(f"r div {tile}")).withColumn("tx", F.expr(f"c div {tile}")).groupBy("ty", "tx").applyInPandas(run, "r long, c long, seed long")).df
     here = F.shiftleft("r", 32) + F.col("c")
     row, col = F.pmod("r", F.lit(tile)), F.pmod("c", F.lit(tile))
     keys = F.array(
-        F.when(F.col("seed") == here, F.struct(F.lit(0).alias("side"), here.alias("at"))),
         F.when(row == tile - 1, F.struct(F.lit(1).alias("side"), here.alias("at"))).when(row == 0, F.struct(F.lit(1).alias("side"), (here - (1 << 32)).alias("at"))),
         F.when(col == tile - 1, F.struct(F.lit(2).alias("side"), here.alias("at"))).when(col == 0, F.struct(F.lit(2).alias("side"), (here - 1).alias("at"))),
     )
-    met = labelled.where("seed >= 0").select("seed", F.explode(F.array_compact(keys)).alias("key"))
-    links = met.groupBy("key").agg(F.min("seed").alias("u"), F.max("seed").alias("v")).where("u < v or key.side = 0").select("u", "v").distinct()
-    numbers = links.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_number, "seed long, number long")
+    good = labelled.where("seed >= 0")
+    met = good.select("seed", F.explode(F.array_compact(keys)).alias("key"))
+    links = met.groupBy("key").agg(F.min("seed").alias("u"), F.max("seed").alias("v")).where("u < v").select("u", "v")
+    joined = Written(components(links)).df
+    seeds = good.where(F.col("seed") == here).select("seed")
+    rooted = Written(seeds.join(joined, F.col("seed") == F.col("node"), "left").select("seed", F.coalesce("root", "seed").alias("root"))).df
+    numbers = Written(rooted.join(_numbered(rooted.select("root").distinct()), "root").select("seed", "number")).df
     return labelled.join(numbers, "seed", "left").select("r", "c", F.coalesce("number", F.lit(0).cast("long")).alias("conncomp"))
 
 
 def unwrap(igram: DataFrame, min_coherence: float = 0.0, tile: int = 256) -> DataFrame:
     """(r, c, unw, conncomp) of (r, c, re, im, coh): path-following unwrapping without an external solver.
 
-    Lines are unwrapped along their first pixels, then each along itself, past missing pixels. The
-    result is congruent with the input and exact on ramps; components are where coherence is at
-    least the limit. Whole turns are running sums: one window a line, and one over a row a line.
+    Lines are unwrapped along their first pixels, then each along itself, past missing pixels and
+    those that are NaN, which stay NaN. The result is congruent with the input and exact on ramps;
+    components are where coherence is at least the limit. Whole turns are running sums: one window a
+    line, and one over a row a line.
     """
-    px = igram.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.atan2("im", "re").alias("ph"), "coh")
-
-    def turns(order: Window):
-        step = F.col("ph") - F.lag("ph").over(order)
-        return F.when(step > np.pi, -1).when(step < -np.pi, 1).otherwise(0)
+    angle = F.atan2("im", "re")
+    px = igram.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.when(~F.isnan("re") & ~F.isnan("im"), angle).alias("ph"), "coh")
 
     def summed(df: DataFrame, order: Window, name: str) -> DataFrame:
-        return df.withColumn("turn", turns(order)).withColumn(name, F.sum("turn").over(order)).drop("turn")
+        before = F.last("ph", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))  # null is no angle; NaN would be above all
+        step = F.col("ph") - before
+        turn = F.when(step > np.pi, -1).when(step < -np.pi, 1).otherwise(0)
+        return df.withColumn("turn", turn).withColumn(name, F.sum("turn").over(order)).drop("turn")
 
     along, down = Window.partitionBy("r").orderBy("c"), Window.partitionBy(F.lit(0)).orderBy("r")
-    heads = summed(px.groupBy("r").agg(F.min_by("ph", "c").alias("ph")), down, "before").select("r", "before")
-    phase = summed(px, along, "within").join(heads, "r").select("r", "c", (F.col("ph") + (F.col("before") + F.col("within")) * F.lit(2 * np.pi)).alias("unw"))
+    first = F.min_by("ph", F.when(F.col("ph").isNotNull(), F.col("c"))).alias("ph")
+    heads = summed(px.groupBy("r").agg(first), down, "before").select("r", "before")
+    whole = F.coalesce(F.col("ph") + (F.col("before") + F.col("within")) * F.lit(2 * np.pi), F.lit(float("nan")))
+    phase = summed(px, along, "within").join(heads, "r").select("r", "c", whole.alias("unw"))
     good = connected(px.select("r", "c", ((F.col("coh") >= min_coherence) & ~F.isnan("coh")).alias("ok")), tile)
     return phase.join(good, ["r", "c"])
 

@@ -143,21 +143,26 @@ def goldstein(spark: S, d: str) -> DataFrame:
 
 
 _TURN = "CASE WHEN {d} > pi() THEN -1 WHEN {d} < -pi() THEN 1 ELSE 0 END"
+_LAST = "last_value(ph IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
 @query(
     with_sql(
-        "p",
+        "p m",
         f"""SELECT r, c, round(ph + (before + sum(turn) OVER (PARTITION BY r ORDER BY c)) * 2 * pi(), 5) + 0e0 AS unw,
         CASE WHEN count(*) OVER () = (max(r) OVER () + 1) * (max(c) OVER () + 1) THEN 1::BIGINT END AS conncomp
-        FROM (SELECT r, c, ph, {_TURN.format(d="ph - lag(ph) OVER (PARTITION BY r ORDER BY c)")} AS turn FROM (SELECT r, c, {_ANGLE} AS ph FROM p))
-        JOIN (SELECT r, sum(turn) OVER (ORDER BY r) AS before FROM (SELECT r, {_TURN.format(d="ph - lag(ph) OVER (ORDER BY r)")} AS turn FROM (SELECT r, {_ANGLE} AS ph FROM p WHERE c = 0))) USING (r)""",
+        FROM (SELECT r, c, ph, {_TURN.format(d="ph - " + _LAST.format(w="PARTITION BY r ORDER BY c"))} AS turn FROM (SELECT r, c, CASE WHEN mask <> 0 AND mask <> 255 THEN {_ANGLE} END AS ph FROM p JOIN m USING (r, c)))
+        JOIN (SELECT r, sum(turn) OVER (ORDER BY r) AS before FROM (SELECT r, {_TURN.format(d="ph - " + _LAST.format(w="ORDER BY r"))} AS turn
+        FROM (SELECT r, arg_min(CASE WHEN mask <> 0 AND mask <> 255 THEN {_ANGLE} END, CASE WHEN mask <> 0 AND mask <> 255 THEN c END) AS ph FROM p JOIN m USING (r, c) GROUP BY r))) USING (r)""",
     )
 )
 def unwrap_rows(spark: S, d: str) -> DataFrame:
-    """All pixels are coherent, so a full rectangle is one component."""
+    """A masked interferogram; masked samples are NaN. All pixels count as coherent, so a full rectangle is one component."""
     importable(spark)
-    return kernels.unwrap(pair(spark, d).withColumn("coh", F.lit(1.0))).select("r", "c", r6("unw", 5), "conncomp")
+    x = pair(spark, d).join(fx.mask_gslc(spark, d), ["r", "c"]).withColumn("coh", F.lit(1.0))
+    for v in ("re", "im"):
+        x = x.withColumn(v, F.when(sar.slc_valid(F.col("mask")), F.col(v)).otherwise(F.lit(float("nan"))))
+    return kernels.unwrap(x).select("r", "c", (F.round(F.when(~F.isnan("unw"), F.col("unw")), 5) + 0.0).alias("unw"), "conncomp")
 
 
 @query(

@@ -168,6 +168,52 @@ def test_phase_link_searches_eleven_pixels_to_each_side(spark):
     assert all(np.isclose(complex(x.re, x.im), linked[x.t, x.r, x.c]) and np.isclose(x.coh, coh[x.t, x.r, x.c]) for x in got)
 
 
+def test_phase_link_keeps_times_and_missing_acquisitions(spark):
+    rng = np.random.default_rng(2)
+    z = np.exp(0.5j * np.array([2, 5, 9]))[:, None, None] * (1 + 0.05 * rng.normal(size=(3, 8, 20)))
+    times = (2, 5, 9)
+    rows = [(times[t], i, j, float(z[t, i, j].real), float(z[t, i, j].imag)) for t, i, j in np.ndindex(*z.shape) if not (t == 1 and j >= 8)]
+    schema = "t int, r long, c long, re double, im double"
+    got = kernels.phase_link(spark.createDataFrame(rows, schema), 2, tile=4).collect()
+    assert sorted((x.t, x.r, x.c) for x in got) == sorted(x[:3] for x in rows)
+    by = {(x.t, x.r, x.c): complex(x.re, x.im) for x in got}
+    for t in (5, 9):  # without the date that tiles from column 12 on lack, even in their halo
+        step = [np.angle(by[t, r, c] * np.conj(by[2, r, c]) * np.exp(-0.5j * (t - 2))) for r in range(8) for c in range(20) if (t, r, c) in by]
+        assert np.allclose(step, 0, atol=0.3)
+    alone = {(x.t, x.r, x.c): complex(x.re, x.im) for x in kernels.phase_link(spark.createDataFrame([x for x in rows if x[2] >= 8], schema), 2, tile=4).collect()}
+    assert all(np.isclose(by[k], alone[k]) for k in alone if k[2] >= 12)
+
+
+def test_linked_windows_do_not_depend_on_the_step(monkeypatch):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(4, 12, 13)) + 1j * rng.normal(size=(4, 12, 13))
+    z[:, 3:5, 3:5] = 0
+    whole = kernels.link_tile(z, 2, 10, 1, 13, 3, 0.4)
+    monkeypatch.setattr(kernels, "LINK_SAMPLES", 1000)
+    assert all(np.allclose(a, b) for a, b in zip(whole, kernels.link_tile(z, 2, 10, 1, 13, 3, 0.4)))
+
+
+def test_unwrap_goes_past_masked_pixels(spark):
+    ramp = 0.6 * np.arange(9)[:, None] + 0.6 * np.arange(20)[None]
+    z = np.exp(1j * ramp)
+    z[4, 5] = z[0, 0] = z[2, 0] = z[2, 1] = z[6, 19] = complex("nan")
+    z[7] = complex("nan")
+    rows = kernels.unwrap(pixels(spark, z).withColumn("coh", F.lit(1.0))).collect()
+    assert len(rows) == z.size
+    off = {round((r.unw - ramp[r.r, r.c]) / (2 * math.pi), 9) for r in rows if not np.isnan(z[r.r, r.c])}
+    assert off == {0.0} and all(math.isnan(r.unw) == bool(np.isnan(z[r.r, r.c])) for r in rows)
+    assert all(math.isnan(r.unw) for r in kernels.unwrap(pixels(spark, np.full((2, 2), complex("nan"))).withColumn("coh", F.lit(1.0))).collect())
+
+
+def test_components_across_many_tiles(spark):
+    rng = np.random.default_rng(9)
+    good = rng.random((40, 37)) < 0.58
+    rows = [(i, j, bool(good[i, j])) for i, j in np.ndindex(*good.shape)]
+    want = kernels.labels(good)
+    got = kernels.connected(spark.createDataFrame(rows, "r int, c int, ok boolean"), 5).collect()
+    assert all(r.conncomp == want[r.r, r.c] for r in got) and len(got) == good.size
+
+
 def test_unwrap_recovers_a_ramp(spark):
     ramp = 0.9 * np.arange(10)[:, None] + 0.4 * np.arange(30)[None]
     px = pixels(spark, np.exp(1j * ramp)).withColumn("coh", F.when(F.col("c") == 15, 0.0).otherwise(1.0))
