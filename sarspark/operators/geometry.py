@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Written
 from .sar import gradient
 
 
@@ -40,16 +41,29 @@ def orbit_at(points: DataFrame, time_col: str, t: np.ndarray, columns: dict[str,
     return out.drop("_k", "_u")
 
 
-def cube_row(cube: DataFrame, name: str) -> DataFrame:
-    """A (k, j, i, v) cube as one row with an array in (k, j, i) order; cubes are coarse by design."""
-    return cube.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "j", "i", "v"))), lambda s: s["v"]).alias(name))
+#: Cells a side of a cube's block.
+BLOCK = 64
 
 
-def interpolate_cube(px: DataFrame, cube: DataFrame, out: str, fk: Column, fj: Column, fi: Column, dims: tuple[int, int, int]) -> DataFrame:
+def cube_blocks(cube: DataFrame, dims: tuple[int, int, int], block: int = BLOCK) -> DataFrame:
+    """(_jb, _ib, _cube): a (k, j, i, v) cube as blocks of cells, each with the samples of its far edges, as arrays in (k, j, i) order."""
+
+    def spread(c: str, n: int) -> Column:
+        last = max((n - 2) // block, 0)
+        return F.explode(F.sequence(F.expr(f"greatest({c} - 1, 0L) div {block}"), F.least(F.expr(f"{c} div {block}"), F.lit(last).cast("long"))))
+
+    copied = cube.select("k", F.col("j").cast("long").alias("j"), F.col("i").cast("long").alias("i"), "v")
+    copied = copied.withColumn("_jb", spread("j", dims[1])).withColumn("_ib", spread("i", dims[2]))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "j", "i", "v"))), lambda s: s["v"])
+    return copied.groupBy("_jb", "_ib").agg(values.alias("_cube"))
+
+
+def interpolate_cube(px: DataFrame, cube: DataFrame, out: str, fk: Column, fj: Column, fi: Column, dims: tuple[int, int, int], block: int = BLOCK) -> DataFrame:
     """``px`` with ``out``, the trilinear value at fractional indices; NaN outside the cube.
 
-    The cube is one row, broadcast; each pixel reads its eight corners from the array, so the
-    pixel table does not move.
+    Pixels meet the block that holds their cell and read its eight corners from one array. Blocks
+    are written, so Spark knows their size: coarse cubes are broadcast and the pixel table does not
+    move; a fine one is joined by block.
     """
     nk, nj, ni = dims
     inside = F.lit(True)
@@ -57,9 +71,12 @@ def interpolate_cube(px: DataFrame, cube: DataFrame, out: str, fk: Column, fj: C
     for f, n in zip((fk, fj, fi), dims):
         inside = inside & (f >= 0) & (f <= n - 1)
         cell = F.least(F.greatest(F.floor(f), F.lit(0)), F.lit(max(n - 2, 0)))
-        base.append(cell.cast("int"))
+        base.append(cell.cast("long"))
         rest.append(f - cell)
-    row = F.broadcast(cube_row(cube, "_cube"))
+    blocks = Written(cube_blocks(cube, dims, block)).df
+    jb, ib = (F.floor(b / F.lit(block)).cast("long") for b in base[1:])
+    met = px.withColumn("_jb", F.when(inside, jb)).withColumn("_ib", F.when(inside, ib)).join(blocks, ["_jb", "_ib"], "left")
+    high, wide = (F.least(F.lit(block + 1).cast("long"), n - F.col(v) * block) for n, v in ((nj, "_jb"), (ni, "_ib")))
     total = F.lit(0.0)
     for dk in (0, 1):
         for dj in (0, 1):
@@ -67,9 +84,9 @@ def interpolate_cube(px: DataFrame, cube: DataFrame, out: str, fk: Column, fj: C
                 weight = F.lit(1.0)
                 for d, r in zip((dk, dj, di), rest):
                     weight = weight * (r if d else 1 - r)
-                at = ((base[0] + dk) * nj + base[1] + dj) * ni + base[2] + di
-                total = total + weight * F.get("_cube", at)
-    return px.crossJoin(row).withColumn(out, F.when(inside, total).otherwise(F.lit(float("nan")))).drop("_cube")
+                at = ((base[0] + dk) * high + base[1] + dj - F.col("_jb") * block) * wide + base[2] + di - F.col("_ib") * block
+                total = total + weight * F.get("_cube", at.cast("int"))
+    return met.withColumn(out, F.when(F.col("_jb").isNotNull(), total).otherwise(F.lit(float("nan")))).drop("_cube", "_jb", "_ib")
 
 
 def regrid_bilinear(source: DataFrame, target: DataFrame, value: str, fr: Column, fc: Column, ny: int, nx: int) -> DataFrame:

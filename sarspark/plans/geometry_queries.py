@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import with_sql
 from ..functions import geodesy as geo
+from ..operators import corrections as cor
 from ..operators import geometry as ops
+from ..operators import selection
 from . import stages
 from .raster_queries import r6
 from .registry import query
@@ -18,19 +20,14 @@ S = SparkSession
 EPSG = 32611
 
 
-def _index(spark: S, d: str) -> tuple[DataFrame, Column, Column, Column]:
-    """The elevation model with fractional cube indices; the cube's grid spans the model's extent."""
-    dem = fx.dem(spark, d)
+def _axes(spark: S, d: str) -> cor.Axes:
+    """The cube's grid spans the elevation model's extent."""
     rows = spark.read.parquet(f"{d}/part.parquet").agg(F.max("p_partkey")).first()[0] // 50
-    dem = dem.withColumn("fk", F.expr("(elev - 800e0)/100e0")).withColumn("fj", F.expr(f"r*4e0/{max(rows, 1)}e0")).withColumn("fi", F.expr("c*4e0/49e0"))
-    return dem, F.col("fk"), F.col("fj"), F.col("fi")
+    return cor.Axes((800.0, 100.0, 3), (4500000.0, -30.0 * max(rows, 1) / 4, 5), (500000.0, 30.0 * 49 / 4, 5))
 
 
 def _on_dem(spark: S, d: str, **cubes: float) -> DataFrame:
-    dem, fk, fj, fi = _index(spark, d)
-    for name, factor in cubes.items():
-        dem = ops.interpolate_cube(dem, fx.cube(spark, d, factor), name, fk, fj, fi, (3, 5, 5))
-    return dem
+    return cor.on_surface(fx.dem(spark, d), {n: fx.cube(spark, d, factor) for n, factor in cubes.items()}, _axes(spark, d))
 
 
 _AT = """ix AS (SELECT *, (elev - 800e0)/100e0 AS fk, r*4e0/(SELECT greatest(max(r), 1) FROM dem) AS fj, c*4e0/49e0 AS fi FROM dem),
@@ -51,21 +48,38 @@ def interp_cube(spark: S, d: str) -> DataFrame:
 _PHASE = "(elev/50e0 + r*1e-1)"
 
 
+def _phase(spark: S, d: str) -> DataFrame:
+    return fx.dem(spark, d).select("r", "c", F.expr(_PHASE).alias("unw"))
+
+
+def _corrected(x: DataFrame) -> DataFrame:
+    return x.select("r", "c", (F.round("unw", 6) + 0.0).alias("corrected"))
+
+
 @query(_cte("dem cube", _AT, f"SELECT r, c, round({_PHASE} - (v + v*5e-1), 6) AS corrected FROM w"))
 def correct_troposphere(spark: S, d: str) -> DataFrame:
-    return _on_dem(spark, d, hydro=1.0, wet=0.5).select("r", "c", F.round(F.expr(f"{_PHASE} - (hydro + wet)"), 6).alias("corrected"))
+    return _corrected(cor.correct_troposphere(_phase(spark, d), fx.dem(spark, d), fx.cube(spark, d), fx.cube(spark, d, 0.5), _axes(spark, d)))
 
 
 @query(with_sql("ph", "SELECT r, c, round(unw - iono, 6) + 0e0 AS corrected FROM ph"))
 def correct_ionosphere(spark: S, d: str) -> DataFrame:
     """On one grid an equi-join and a subtraction; on another grid, regrid_bilinear comes first."""
-    return fx.phases(spark, d).select("r", "c", (F.round(F.expr("unw - iono"), 6) + 0.0).alias("corrected"))
+    x = fx.phases(spark, d)
+    return _corrected(cor.correct_ionosphere(x.select("r", "c", "unw"), x.select("r", "c", "iono")))
+
+
+@query(with_sql("ph", "SELECT a.r, a.c, round(a.unw - (b.iono + e.iono)/2, 6) + 0e0 AS corrected FROM ph a LEFT JOIN ph b USING (r, c) LEFT JOIN (SELECT r - 1 AS r, c, iono FROM ph) e USING (r, c)"))
+def correct_ionosphere_regridded(spark: S, d: str) -> DataFrame:
+    """A screen whose rows lie half a pixel off; outside it is NaN, shown as null."""
+    x = fx.phases(spark, d)
+    out = cor.correct_ionosphere(x.select("r", "c", "unw"), x.select("r", "c", "iono"), place=(F.col("r") + 0.5, F.col("c") * 1.0))
+    return out.select("r", "c", (F.round(F.when(~F.isnan("unw"), F.col("unw")), 6) + 0.0).alias("corrected"))
 
 
 @query(_cte("dem cube", _AT, f"SELECT r, c, round({_PHASE} - v*15e-1 - (c*1e-2), 6) + 0e0 AS corrected FROM w"))
 def correct_atmosphere(spark: S, d: str) -> DataFrame:
-    x = _on_dem(spark, d, hydro=1.0, wet=0.5)
-    return x.select("r", "c", (F.round(F.expr(f"{_PHASE} - (hydro + wet) - c*1e-2"), 6) + 0.0).alias("corrected"))
+    screen = fx.dem(spark, d).select("r", "c", (F.col("c") * 1e-2).alias("iono"))
+    return _corrected(cor.correct_atmosphere(_phase(spark, d), fx.dem(spark, d), fx.cube(spark, d), fx.cube(spark, d, 0.5), _axes(spark, d), screen))
 
 
 _GRAD = """g AS (SELECT *, CASE WHEN lag(elev) OVER a IS NULL THEN (lead(elev) OVER a - elev)/-30e0 WHEN lead(elev) OVER a IS NULL THEN (elev - lag(elev) OVER a)/-30e0 ELSE (lead(elev) OVER a - lag(elev) OVER a)/-60e0 END AS gy,
@@ -96,9 +110,8 @@ def los_on_dem(spark: S, d: str) -> DataFrame:
     )
 )
 def local_incidence_angle(spark: S, d: str) -> DataFrame:
-    x = _on_dem(spark, d, **_LOS).withColumn("lz", F.expr("sqrt(greatest(0e0, 1 - lx*lx - ly*ly))"))
-    n = ops.surface_normal(x, -30.0, 30.0)
-    return n.select("r", "c", F.round(ops.incidence(*[F.col(v) for v in ("nx", "ny", "nz", "lx", "ly", "lz")]), 4).alias("lia"))
+    x = cor.local_incidence_angle(fx.dem(spark, d), fx.cube(spark, d, _LOS["lx"]), fx.cube(spark, d, _LOS["ly"]), _axes(spark, d), -30.0, 30.0)
+    return x.select("r", "c", F.round("lia", 4).alias("lia"))
 
 
 @query(_cte("dem", "z AS (SELECT 1)", "SELECT r, c, round(lon, 8) AS lon, round(lat, 8) AS lat, round(ex, 3) AS ex, round(ey, 3) AS ey, round(ez, 3) AS ez FROM " + stages.sql("(SELECT *, elev AS h FROM dem)", geo.utm_to_lonlat(EPSG) + geo.lonlat_to_ecef())))
@@ -152,8 +165,8 @@ def coord_resolution(spark: S, d: str) -> DataFrame:
 @query(with_sql("dem", "SELECT r, c, elev FROM dem WHERE x BETWEEN 500150 AND 500900 AND y BETWEEN 4499900 AND 4500000"))
 def crop_bbox(spark: S, d: str) -> DataFrame:
     """A label slice, inclusive, rewritten to index ranges at plan time."""
-    c0, c1 = -(-150 // 30), 900 // 30
-    return fx.dem(spark, d).where(f"c between {c0} and {c1} and r between 0 and {100 // 30}").select("r", "c", "elev")
+    rows = spark.read.parquet(f"{d}/part.parquet").agg(F.max("p_partkey")).first()[0] // 50 + 1
+    return selection.crop_bbox(fx.dem(spark, d), (4500000.0, -30.0, rows), (500000.0, 30.0, 50), (500150.0, 4499900.0, 500900.0, 4500000.0)).select("r", "c", "elev")
 
 
 @query(with_sql("dem", "SELECT r, c, elev FROM dem WHERE c BETWEEN 5 AND 30 AND r BETWEEN (SELECT arg_min(r, abs(y - 4499985) + r*1e-9) FROM dem WHERE c = 0) AND (SELECT arg_min(r, abs(y - 4499931) + r*1e-9) FROM dem WHERE c = 0)"))
@@ -170,10 +183,8 @@ def crop_overlap(spark: S, d: str) -> DataFrame:
     """Two rasters cropped to their common extent; both bounds are one-row aggregates."""
     a = fx.dem(spark, d)
     b = a.where("c >= 10").select("r", (F.col("c") - 10).alias("c"), (F.col("x") - 300).alias("x"), "y", F.col("elev").alias("e2"))
-    bounds = [t.agg(*[f(v).alias(f"{n}{v}{k}") for v in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]) for k, t in enumerate((a, b))]
-    one = bounds[0].crossJoin(F.broadcast(bounds[1])).select(*[F.expr(f"{'greatest' if n == 'lo' else 'least'}({n}{v}0, {n}{v}1)").alias(f"{n}{v}") for v in ("x", "y") for n in ("lo", "hi")])
-    cropped = a.crossJoin(F.broadcast(one)).where("x between lox and hix and y between loy and hiy").select("r", "c", F.col("elev").alias("e1"))
-    return cropped.join(b.select("r", "c", "e2"), ["r", "c"])
+    a, b = selection.crop_to_overlap(a, b)
+    return a.select("r", "c", F.col("elev").alias("e1")).join(b.select("r", "c", "e2"), ["r", "c"])
 
 
 @query(with_sql("gr", "SELECT a.id, round(CASE WHEN least((a.xmax-a.xmin)*(a.ymax-a.ymin), 3) > 0 THEN least(1e0, greatest(0e0, least(a.xmax, 11) - greatest(a.xmin, 9)) * greatest(0e0, least(a.ymax, 115e-1) - greatest(a.ymin, 10)) / least((a.xmax-a.xmin)*(a.ymax-a.ymin), 3e0)) ELSE 0e0 END, 6) AS fraction FROM gr a"))
@@ -209,46 +220,66 @@ _K = 4 * np.pi * 1.257e9 / 299792458.0
 def los_phase(spark: S, d: str) -> DataFrame:
     """A displacement projected on the line of sight, as phase."""
     x = _on_dem(spark, d, **_LOS)
-    return x.select("r", "c", F.round(F.expr(f"-{stages.num(_K)}*(lx*2e-2 + ly*1e-2 + 3e-2)"), 6).alias("phase"))
+    return x.select("r", "c", F.round(cor.displacement_phase(x, 1.257e9, F.lit(0.02), F.lit(0.01), F.lit(0.03)), 6).alias("phase"))
 
 
-_ORBIT = {"p0x": (-2400000.0, 700.0), "p0y": (-5400000.0, 1500.0), "p0z": (4200000.0, 7200.0)}
+#: Positions as cubics in time, which curve, and which a cubic spline must give back.
+_ORBIT = {"x": (-2400000.0, 700.0, -1.2, 4e-3), "y": (-5400000.0, 1500.0, 2.1, -3e-3), "z": (4200000.0, 7200.0, -2.4, 1e-3)}
+_AHEAD = {"x": 60.0, "y": -45.0, "z": 20.0}
 _T = np.arange(20) * 10.0
 
 
-def _orbits() -> dict[str, np.ndarray]:
-    return {n: a + b * _T for n, (a, b) in _ORBIT.items()}
+def _place(axis: str, t: str, more: float = 0.0, slope: float = 0.0) -> str:
+    a, b, c, e = _ORBIT[axis]
+    return f"({stages.num(a + more)} + {t}*({stages.num(b + slope)} + {t}*({stages.num(c)} + {t}*{stages.num(e)})))"
+
+
+def _speed(axis: str, t: str) -> str:
+    _, b, c, e = _ORBIT[axis]
+    return f"({stages.num(b)} + {t}*({stages.num(2 * c)} + {t}*{stages.num(3 * e)}))"
+
+
+def _states(spark: S, more: float = 0.0, slope: float = 0.0) -> DataFrame:
+    """(t, px..pz, vx..vz): 20 state vectors; a second orbit runs beside the first and slowly away from it."""
+    t = spark.createDataFrame([(float(x),) for x in _T], "t double")
+    return t.select("t", *[F.expr(_place(v, "t", more * _AHEAD[v], slope)).alias(f"p{v}") for v in "xyz"], *[F.expr(_speed(v, "t")).alias(f"v{v}") for v in "xyz"])
 
 
-@query("SELECT n, round(t, 6) AS t, " + ", ".join(f"round({stages.num(a)} + {stages.num(b)}*t, 3) AS {n}" for n, (a, b) in _ORBIT.items()) + " FROM (SELECT o_orderkey::BIGINT AS n, (o_orderkey::BIGINT % 1900)/1e1 AS t FROM orders)")
+@query("SELECT n, round(t, 6) AS t, " + ", ".join(f"round({_place(v, 't')}, 3) AS p0{v}" for v in "xyz") + " FROM (SELECT o_orderkey::BIGINT AS n, (o_orderkey::BIGINT % 1900)/1e1 AS t FROM orders)")
 def orbit_interp(spark: S, d: str) -> DataFrame:
     x = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("n")).withColumn("t", F.expr("(n % 1900)/1e1"))
-    x = ops.orbit_at(x, "t", _T, _orbits())
-    return x.select("n", r6("t"), *[r6(n, 3) for n in _ORBIT])
+    states = cor.orbit_of(_states(spark))
+    x = ops.orbit_at(x, "t", states["t"], {f"p0{v}": states[f"p{v}"] for v in "xyz"})
+    return x.select("n", r6("t"), *[r6(f"p0{v}", 3) for v in "xyz"])
 
 
-_PLACE = [{"x": "500000e0 + 100e0*i", "y": "4000000e0 + 100e0*j", "h": "0e0"}]
-_SECOND = {"sx": "rx + 60e0", "sy": "ry - 45e0", "sz": "rz + 20e0", "vx": "700e0", "vy": "1500e0", "vz": "7200e0"}
+_GRID = [{"x": "500000e0 + 100e0*i", "y": "4000000e0 + 100e0*j", "ref_time": "50 + 5e0*j + i", "sec_time": "515e-1 + 5e0*j + i"}]
 
 
-@query(
-    "SELECT j, i, round(b_perp, 4) AS b_perp, round(b_par, 4) AS b_par FROM "
-    + stages.sql(
-        "(SELECT n_nationkey::BIGINT // 5 AS j, n_nationkey::BIGINT % 5 AS i, 50 + n_nationkey*1e0 AS t FROM nation)",
-        _PLACE + geo.utm_to_lonlat(EPSG) + geo.lonlat_to_ecef() + [{n.replace("p0", "r"): f"{stages.num(a)} + {stages.num(b)}*t" for n, (a, b) in _ORBIT.items()}, _SECOND] + geo.baseline(),
-    )
-)
-def baseline(spark: S, d: str) -> DataFrame:
-    """Perpendicular and parallel baseline of a radar grid from two orbits' splines at its azimuth times."""
+def _baseline_sql(height: str) -> str:
+    places = [{f"r{v}": _place(v, "ref_time") for v in "xyz"} | {f"v{v}": _speed(v, "ref_time") for v in "xyz"} | {f"s{v}": _place(v, "sec_time", _AHEAD[v], 0.3) for v in "xyz"}]
+    points = f"(SELECT n_nationkey::BIGINT // 5 AS j, n_nationkey::BIGINT % 5 AS i, {height} AS h FROM nation)"
+    return "SELECT j, i, round(b_perp, 4) AS b_perp, round(b_par, 4) AS b_par FROM " + stages.sql(points, _GRID + geo.utm_to_lonlat(EPSG) + geo.lonlat_to_ecef() + places + geo.baseline())
+
+
+def _grid(spark: S, d: str) -> DataFrame:
+    """A radar grid of three layers at 0, 250 and 500 metres."""
     n = F.col("n_nationkey").cast("long")
-    x = spark.read.parquet(f"{d}/nation.parquet").select(F.expr("cast(n_nationkey as bigint) div 5").alias("j"), (n % 5).alias("i"), (n * 1.0 + 50).alias("t"))
-    x = stages.apply(x, _PLACE + geo.utm_to_lonlat(EPSG) + geo.lonlat_to_ecef())
-    ref = {n.replace("p0", "r"): y for n, y in _orbits().items()}
-    shift = {"sx": 60.0, "sy": -45.0, "sz": 20.0}
-    sec = {k: y + v for (k, v), y in zip(shift.items(), _orbits().values())}
-    vel = {v: np.full(20, s) for v, s in (("vx", 700.0), ("vy", 1500.0), ("vz", 7200.0))}
-    x = stages.apply(ops.orbit_at(x, "t", _T, ref | sec | vel), geo.baseline())
-    return x.select("j", "i", r6("b_perp", 4), r6("b_par", 4))
+    x = spark.read.parquet(f"{d}/nation.parquet").select(F.expr("cast(n_nationkey as bigint) div 5").alias("j"), (n % 5).alias("i"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    return stages.apply(x.withColumn("h", F.col("k") * 250.0), _GRID)
+
+
+@query(_baseline_sql("250e0"))
+def baseline(spark: S, d: str) -> DataFrame:
+    """Perpendicular and parallel baseline of a radar grid's middle layer, each orbit at its own azimuth times."""
+    return cor.compute_baseline(_grid(spark, d), _states(spark), _states(spark, 1.0, 0.3), EPSG).select("j", "i", r6("b_perp", 4), r6("b_par", 4))
+
+
+@query(_baseline_sql("1000 + 10e0*n_nationkey"))
+def baseline_on_dem(spark: S, d: str) -> DataFrame:
+    """The same with ground heights of its own."""
+    dem = _grid(spark, d).where("k = 0").select("j", "i", (1000 + 10.0 * (F.col("j") * 5 + F.col("i"))).alias("h"))
+    return cor.compute_baseline(_grid(spark, d), _states(spark), _states(spark, 1.0, 0.3), EPSG, dem).select("j", "i", r6("b_perp", 4), r6("b_par", 4))
 
 
 @query(with_sql("cube", "SELECT round(median(v), 6) AS median, round(coalesce(max(CASE WHEN j = 2 AND i = 2 THEN v END), median(v)), 6) AS centre FROM cube WHERE k = 1"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..fixtures import with_sql
 from ..functions import polarimetry as pol
-from ..operators import kernels, sar, tiles
+from ..operators import kernels, sar, selection, tiles
 from ..session import importable
 from . import stages
 from .registry import query
@@ -234,11 +234,9 @@ def phase_link(spark: S, d: str) -> DataFrame:
 @query(with_sql("a m", "SELECT r, c, mask <> 0 AND mask <> 255 AS valid, round(CASE WHEN mask <> 0 AND mask <> 255 THEN re END, 6) + 0e0 AS re, round(CASE WHEN mask <> 0 AND mask <> 255 THEN im END, 6) + 0e0 AS im FROM a JOIN m USING (r, c)"))
 def get_slc_masked(spark: S, d: str) -> DataFrame:
     """Masked samples are NaN in the engine; the query shows them as null beside a flag."""
-    ok = sar.slc_valid(F.col("mask"))
-    x = fx.slc(spark, d, 0).join(fx.mask_gslc(spark, d), ["r", "c"])
-    for v in ("re", "im"):
-        x = x.withColumn(v, F.when(ok, F.col(v)).otherwise(F.lit(float("nan"))))
-    return x.select("r", "c", ok.alias("valid"), *[(F.round(F.when(~F.isnan(v), F.col(v)), 6) + 0.0).alias(v) for v in ("re", "im")])
+    images, masks = (x.withColumn("frequency", F.lit("frequencyA")) for x in (fx.slc(spark, d, 0).withColumn("polarization", F.lit("HH")), fx.mask_gslc(spark, d)))
+    x = selection.get_slc(images, "HH", "A", masks, "GSLC")
+    return x.select("r", "c", (~F.isnan("re")).alias("valid"), *[(F.round(F.when(~F.isnan(v), F.col(v)), 6) + 0.0).alias(v) for v in ("re", "im")])
 
 
 _GUNW = "(mask // 10) % 10 <> 0 AND mask % 10 <> 0 AND mask <> 255"
@@ -246,9 +244,9 @@ _GUNW = "(mask // 10) % 10 <> 0 AND mask % 10 <> 0 AND mask <> 255"
 
 @query(with_sql("ph g", f"SELECT r, c, {_GUNW} AS valid, round(CASE WHEN {_GUNW} THEN unw END, 6) + 0e0 AS unw FROM ph JOIN g USING (r, c)"))
 def get_gunw_masked(spark: S, d: str) -> DataFrame:
-    ok = sar.gunw_valid(F.col("mask"))
-    x = fx.phases(spark, d).join(fx.mask_gunw(spark, d), ["r", "c"])
-    return x.select("r", "c", ok.alias("valid"), (F.round(F.when(ok, F.col("unw")), 6) + 0.0).alias("unw"))
+    bands, masks = (x.withColumns({"frequency": F.lit("frequencyA"), "layer": F.lit("unwrappedInterferogram"), "polarization": F.lit("HH")}) for x in (fx.phases(spark, d), fx.mask_gunw(spark, d)))
+    x = selection.get_gunw(bands, "unw", masks=masks, product_type="GUNW")
+    return x.select("r", "c", (~F.isnan("unw")).alias("valid"), (F.round(F.when(~F.isnan("unw"), F.col("unw")), 6) + 0.0).alias("unw"))
 
 
 @query(with_sql("a m", "SELECT r, c, round(CASE WHEN mask = 3 THEN re ELSE -1e0 END, 6) + 0e0 AS re FROM a JOIN m USING (r, c)"))
@@ -388,14 +386,9 @@ def array_stats(spark: S, d: str) -> DataFrame:
 
 
 def stats(px: DataFrame, value: str) -> DataFrame:
-    """Count, range, mean and exact quartiles of the finite values."""
-    x = F.col(value)
-    ok = ~F.isnan(x) & (F.abs(x) != float("inf"))
-    v = F.when(ok, x)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = px.agg(F.count(v).alias("n"), F.count("*").alias("total"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), q.alias("q"))
-    part = F.when(F.col("total") > 0, F.round(F.col("n") / F.col("total").cast("double"), 6))
-    return a.select("n", "total", part.alias("fraction"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), r6("mean"), *[(F.round(F.get("q", F.lit(k)), 6) + 0.0).alias(n) for k, n in ((1, "median"), (0, "q25"), (2, "q75"))])
+    """Count, range, mean and exact quartiles of the finite values, rounded."""
+    a = selection.array_stats(px, value)
+    return a.select("n", "total", *[F.round(v, 6).alias(v) for v in ("fraction", "lo", "hi")], *[r6(v) for v in ("mean", "median", "q25", "q75")])
 
 
 @query(with_sql("m", "SELECT count(*) FILTER (WHERE mask <> 0) AS valid, count(*) AS total, round(count(*) FILTER (WHERE mask <> 0)/count(*)::DOUBLE, 6) AS fraction FROM m"))
@@ -417,9 +410,16 @@ def conncomp_stats(spark: S, d: str) -> DataFrame:
 @query(with_sql("ph", "SELECT count(*) AS n, round(corr(unw, iono), 6) AS pearson, round(sqrt(avg((unw - iono)*(unw - iono))), 6) AS rmse, round(1 - sum((unw - iono)*(unw - iono))/sum((unw - m)*(unw - m)), 6) AS r2 FROM ph, (SELECT avg(unw) AS m FROM ph)"))
 def fit_metrics(spark: S, d: str) -> DataFrame:
     """Pearson r, RMSE and R2 of iono against unw over jointly finite pixels."""
-    x = fx.phases(spark, d)
-    a = x.agg(F.count("*").alias("n"), F.corr("unw", "iono").alias("pearson"), F.avg(F.expr("(unw - iono)*(unw - iono)")).alias("mse"), F.var_pop("unw").alias("var"))
-    return a.select("n", r6("pearson"), F.round(F.sqrt("mse"), 6).alias("rmse"), F.round(1 - sar.safe_div(F.col("mse"), F.col("var")), 6).alias("r2"))
+    return selection.fit_metrics(fx.phases(spark, d), "unw", "iono").select("n", r6("pearson"), F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+_CENTRED = "(SELECT unw - (SELECT median(unw) FROM ph) AS unw, iono - (SELECT median(iono) FROM ph) AS iono FROM ph)"
+
+
+@query(with_sql("ph", f"SELECT count(*) AS n, round(corr(unw, iono), 6) AS pearson, round(sqrt(avg((unw - iono)*(unw - iono))), 6) AS rmse, round(1 - sum((unw - iono)*(unw - iono))/sum((unw - m)*(unw - m)), 6) AS r2 FROM {_CENTRED}, (SELECT avg(unw) AS m FROM {_CENTRED})"))
+def fit_metrics_centred(spark: S, d: str) -> DataFrame:
+    """The same after each lost its median."""
+    return selection.fit_metrics(fx.phases(spark, d), "unw", "iono", centred=True).select("n", r6("pearson"), F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
 @query(with_sql("ph", "SELECT count(*) AS n, round(avg(unw - iono), 6) AS mean, round(stddev_pop(unw - iono), 6) AS std, round(sqrt(avg((unw - iono)*(unw - iono))), 6) AS rms FROM ph"))
