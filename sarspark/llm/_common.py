@@ -2,50 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shared import Written, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own; on a
-    cluster a missing setting is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-        path = tempfile.mkdtemp(prefix="sarspark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-class Written:
-    """A table in the shared folder: its lineage is cut, so a lost executor costs no recomputation."""
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}"
-        self.schema = df.schema
-        df.write.parquet(self.path)
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Remove the files once nothing reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    return Written(df).df
+__all__ = ["Written", "shared_dir", "spare", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
