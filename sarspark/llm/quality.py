@@ -102,7 +102,7 @@ def base_failed(m: Column) -> Column:
 
 
 def rules(m: Column) -> dict[str, Column]:
-    """Each rule's vote: 1 good, -1 bad, 0 abstains."""
+    """Each rule's vote: 1 good, -1 bad, 0 abstains. What the base already fails no rule objects to again."""
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
@@ -113,7 +113,7 @@ def rules(m: Column) -> dict[str, Column]:
     letters = F.greatest(m["n_letters"], F.lit(1)).cast("double")
     never = F.lit(False)
     return {
-        "length": vote(m["n_words"] < MIN_WORDS, m["n_words"] >= 40),
+        "length": vote(never, m["n_words"] >= 40),
         "word_length": vote((m["word_chars"] / words < 2) | (m["word_chars"] / words > 12), (m["word_chars"] / words).between(3, 10)),
         "stops": vote((m["n_stops"] == 0) & (m["n_words"] >= 40), (m["n_stops"] / words).between(0.02, 0.5)),
         "symbols": vote(m["n_symbols"] / words > 0.1, never),
@@ -121,7 +121,7 @@ def rules(m: Column) -> dict[str, Column]:
         "marks": vote(m["n_marks"] / chars > 0.12, never),
         "capitals": vote(m["n_upper"] / letters > 0.5, never),
         "bangs": vote(m["n_bangs"] / words > 0.2, never),
-        "repetition": vote((m["n_dup_lines"] / lines > 0.3) | (m["n_repeat_words"] / words > 0.3) | ((m["n_unique"] / words < 0.15) & (m["n_words"] < 2000)), never),
+        "repetition": vote((m["n_dup_lines"] / lines > 0.3) | ((m["n_unique"] / words < 0.15) & (m["n_words"] < 2000)), never),
     }
 
 
