@@ -14,12 +14,26 @@ from pyspark.sql import functions as F
 
 from ._common import Written
 
+#: Keys among which the URLs are spread that try the rules without a token.
+SALT = 64
 RULE_SCHEMA = "rule string, action string, pattern string, tokens array<string>, weight long"
 
 
+#: The token under which rules without one are filed; no URL has it.
+_ANY = ""
+
+
+def _salted(n: Column) -> Column:
+    return F.concat(F.lit("?"), n.cast("string"))
+
+
+def _lower(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
-    host = F.regexp_extract(url, r"^(?s).*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(_lower(F.regexp_extract(url, r"^(?s).*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -53,6 +67,32 @@ def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(*r[:3], list(r[3]), r[4]) for r in rules], RULE_SCHEMA)
 
 
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of text files, one a line with tabs between its fields; a list of any length stays on the executors.
+
+    ``action, host/path`` is a host rule, ``action, name, tokens (comma-joined), expression`` a rule by
+    expression. Empty lines and lines that start with ``#`` are skipped; any other line is an error.
+    """
+    line = F.trim(F.regexp_replace("value", r"\s+$", ""))
+    fields = F.split(line, "\t")
+    lines = spark.read.text(path).where((line != "") & ~line.startswith("#")).select(fields.alias("f"), line.alias("line"))
+    f = F.col("f")
+    known = F.size(f).isin(2, 4) & f[0].isin("allow", "block")
+    lines = lines.select(F.when(known, f).otherwise(F.raise_error(F.concat(F.lit("not a rule: "), "line"))).alias("f"))
+    spec = f[1]
+    slash = F.locate("/", spec)
+    host = _lower(F.when(slash > 0, F.expr("substring_index(f[1], '/', 1)")).otherwise(spec))
+    tail = F.concat(F.lit("/"), F.when(slash > 0, F.expr("substring(f[1], locate('/', f[1]) + 1)")).otherwise(F.lit("")))
+    quoted = F.regexp_replace(F.concat(host, tail), r"([^A-Za-z0-9/])", r"\\$1")
+    pieces = F.array_union(F.split(host, "[^a-z0-9]+"), F.regexp_extract_all(tail, F.lit(r"(?<=/)([a-z0-9]+)(?=/)")))
+    is_host = F.size(f) == 2
+    pattern = F.when(is_host, F.concat(F.lit(r"^(?:[^/?#]*\.)?"), quoted)).otherwise(F.try_element_at(f, F.lit(4)))
+    tokens = F.when(is_host, pieces).otherwise(F.split(F.lower(F.try_element_at(f, F.lit(3))), ","))
+    weight = F.when(is_host, F.length(spec) + F.lit(1 << 20)).otherwise(F.length(F.try_element_at(f, F.lit(4)))).cast("long")
+    named = F.array_distinct(F.filter(tokens, lambda t: t != ""))
+    return lines.select(spec.alias("rule"), f[0].alias("action"), pattern.alias("pattern"), named.alias("tokens"), weight.alias("weight"))
+
+
 def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """``rules`` with ``token``, the rarest of their tokens in ``urls`` (its column ``tokens``), for ``tokens``; ties go to the first in order."""
     by = [c for c in rules.columns if c != "tokens"]
@@ -67,18 +107,24 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     A null URL or one without ``://`` has an empty host and path, which only a rule that matches
     the empty text fits. Equal weights: the first rule in order. Repeated rows each get a row.
-    Rules without a token are tried on every URL.
+    Rules without a token are tried on every URL: they are copied to SALT keys and each URL looks
+    under one of them, so no key is that of all URLs. Without such rules no URL looks for them.
     """
     url = F.col(url_col).cast("string")
     parsed = pages.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     text = F.concat("host", "path")
-    parsed = parsed.withColumn("tokens", F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")))
-    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    parsed = parsed.withColumn("tokens", F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")))
+    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(_ANY)))
     # ids that follow a sort are in its order, so the least one that fits is the winning rule's
     ranked = rules.withColumn("tokens", tokens).orderBy(F.desc("weight"), "rule", "action", "pattern")
     rules = Written(ranked.withColumn("order", F.monotonically_increasing_id())).df
     filed = Written(index(rules.select("order", "pattern", "tokens"), parsed)).df
-    fetched = parsed.withColumn("token", F.explode(F.array_union("tokens", F.array(F.lit(""))))).join(filed, "token", "left")
+    asked = F.col("tokens")
+    if not filed.where(F.col("token") == _ANY).isEmpty():
+        copies = F.when(F.col("token") == _ANY, F.transform(F.sequence(F.lit(0), F.lit(SALT - 1)), _salted)).otherwise(F.array("token"))
+        filed = filed.withColumn("token", F.explode(copies))
+        asked = F.array_append(asked, _salted(F.pmod(F.xxhash64("row"), F.lit(SALT))))
+    fetched = parsed.withColumn("token", F.explode_outer(asked)).join(filed, "token", "left")
     fits = F.col("pattern").isNotNull() & F.expr("concat(host, path) rlike pattern")
     best = fetched.groupBy("row", "id", "host", "path").agg(F.min(F.when(fits, F.col("order"))).alias("best"))
     named = rules.select(F.col("order").alias("best"), "rule", "action", "weight")
