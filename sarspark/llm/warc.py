@@ -4,7 +4,8 @@ A bundle is a run of independent Zstandard frames, each holding some whole WARC
 skippable frame with the record index (record id to frame and offset in it), and a skippable
 frame with the seek table (compressed and plain size of each frame) that ends in the magic
 number of the seekable format. A reader that has the last bytes finds any record and unpacks
-one frame. Bundles are rows of a table in the shared folder, written once and read back.
+one frame. Bundles are rows of a table in the shared folder, written once and read back;
+``export`` makes them files that any Zstandard tool unpacks, ``imported`` reads such files.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Written, text_of
@@ -108,6 +109,9 @@ class Reader:
         if magic != _SKIPPABLE_INDEX:
             raise ValueError("the bundle has no index")
         self.index = json.loads(self.unpacker.decompress(data[start + 8 : start + 8 + size]))
+        self.places: dict[int | None, tuple[int, int, int]] = {}
+        for page_id, k, offset, length in self.index:
+            self.places.setdefault(page_id, (k, offset, length))
 
     def frame(self, k: int) -> bytes:
         start, packed, plain = self.frames[k]
@@ -115,7 +119,7 @@ class Reader:
 
     def record(self, page_id: int | None) -> bytes:
         """The first record of ``page_id``; only its frame is unpacked."""
-        _, k, offset, size = next(x for x in self.index if x[0] == page_id)
+        k, offset, size = self.places[page_id]
         return self.frame(k)[offset : offset + size]
 
     def records(self) -> Iterator[bytes]:
@@ -146,7 +150,8 @@ def bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Of rows with equal payloads of at least ``min_revisit_bytes`` bytes that with the least id is
     the response and others revisit it; rows that repeat this id are responses too, and so are
-    rows without an id. Null html is empty.
+    rows without an id. Null html is empty. Record ids are made of the rows' ids, so where rows
+    repeat an id their records do too, and a look-up by id finds the first of a bundle.
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
     digest = F.sha1(F.col("html").cast("binary"))
@@ -193,6 +198,39 @@ def read(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
     return out.withColumnRenamed("id", id_col)
 
 
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """(bundle_id, path, bytes): each bundle as ``<bundle_id>.warc.zst`` in ``folder``, a URI or path that all executors reach.
+
+    The files are written when the result is computed. A task writes under a name of its own and
+    then moves the file, so a task that is lost or runs twice leaves no half of a file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place, root = fs.FileSystem.from_uri(folder)
+        place.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            out = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                target, own = f"{root}/{name}.warc.zst", f"{root}/_{name}.{attempt}"
+                with place.open_output_stream(own, compression=None) as f:
+                    f.write(data.as_buffer())
+                place.move(own, target)
+                out.append((name, target, len(data.as_buffer())))
+            kinds = [pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=["bundle_id", "path", "bytes"])
+
+    return archives.select("bundle_id", "archive").mapInArrow(run, "bundle_id string, path string, bytes long")
+
+
+def imported(spark: SparkSession, folder: str) -> DataFrame:
+    """(bundle_id, archive) of the files that ``export`` wrote, for ``read``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]*)\.warc\.zst$", 1).alias("bundle_id"), F.col("content").alias("archive"))
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """Write every row into bundles in the shared folder and read the records back."""
     return read(Written(bundles(pages, id_col, url_col, html_col, min_revisit_bytes)).df, id_col)

@@ -468,6 +468,19 @@ def test_archives_round_trip(spark, data):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_as_files(spark, data, tmp_path):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    archives = warc.Written(warc.bundles(pages)).df
+    files = warc.export(archives, f"file://{tmp_path}").collect()
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"{r.bundle_id}.warc.zst" for r in files)
+    assert sum(r.bytes for r in files) == sum(p.stat().st_size for p in tmp_path.iterdir())
+    plain = b"".join(zstandard.ZstdDecompressor().stream_reader(Path(r.path).read_bytes(), read_across_frames=True).read() for r in files)
+    assert plain.count(b"WARC/1.1\r\nWARC-Type: ") == pages.count()
+    back = warc.read(warc.imported(spark, f"file://{tmp_path}"))
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, warc.read(archives).collect()))
+    assert warc.export(archives.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
 def test_bundles_seek_and_are_plain_zstandard():
     b = warc.Bundle(frame_bytes=2000)
     records = {i: warc.record(i, f"http://x/{i}", b"payload %d " % i * 50, None) for i in range(40)}
@@ -476,6 +489,10 @@ def test_bundles_seek_and_are_plain_zstandard():
     data = b.finish()
     reader = warc.Reader(data)
     assert len(reader.frames) > 5 and reader.record(33) == records[33] and list(reader.records()) == list(records.values())
+    b.add(33, records[0])
+    assert warc.Reader(b.finish()).record(33) == records[33]
+    with pytest.raises(KeyError):
+        reader.record(40)
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
     assert whole == b"".join(records.values())
     bad = records[0].replace(b"payload 0", b"payload 1")
@@ -527,6 +544,47 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert {r.rule: r.token for r in urlfilter.index(table, urls).collect()} == {"r": "rare", "n": "never"}
 
 
+def test_rules_of_files(spark, data, tmp_path):
+    rng = np.random.default_rng(5)
+    urls = [r.url for r in spark.read.parquet(f"{data}/pages.parquet").select("url").collect()] + URLS
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    parsed = [slow_url(u) for u in urls]
+    hosts = sorted({h for h, _ in parsed if h and len(h) < 100 and "\t" not in h})
+    rules = {f"{h.split('.', int(rng.integers(0, h.count('.') + 1)))[-1]}/{'' if k % 3 else 'a.b+c/'}": ("block", "allow")[k % 2] for k, h in enumerate(hosts)}
+    rules |= {f"h{k}.com/p{k}/": "block" for k in range(5000)} | {"é.net/": "allow", "net": "block"}
+    (tmp_path / "hosts.txt").write_text("# a list\n\n" + "".join(f"{a}\t{r}\n" for r, a in rules.items()))
+    (tmp_path / "own.txt").write_text("block\tcasino\tcasino\t(?:^|[./-])casino(?:[./-]|$)\nblock\tport\t\t:[0-9]+/\n")
+    table = urlfilter.load_rules(spark, str(tmp_path))
+    assert table.count() == len(rules) + 2
+    got = {r.page_id: r for r in urlfilter.judge(pages, table).collect()}
+    assert len(got) == len(urls)
+    named = 0
+    for k, (host, path) in enumerate(parsed):
+        fits = [r for r in rules if (host + "/").endswith("." + (h := r.partition("/")[0]) + "/") or host == h]
+        fits = sorted((r for r in fits if path.startswith("/" + r.partition("/")[2])), key=lambda r: (-len(r), r))
+        if fits:
+            named += 1
+            assert (got[k].rule, got[k].verdict) == (fits[0], rules[fits[0]]), urls[k]
+        else:
+            own = [n for n, p in (("casino", r"(?:^|[./-])casino(?:[./-]|$)"), ("port", ":[0-9]+/")) if re.search(p, host + path)]
+            assert got[k].verdict == ("block" if own else "allow") and (got[k].rule in own if own else got[k].rule is None), urls[k]
+    assert named > 50
+
+
+def test_a_line_that_is_no_rule_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.txt").write_text("forbid\texample.com/\n")
+    with pytest.raises(Exception, match="not a rule"):
+        urlfilter.load_rules(spark, str(tmp_path)).collect()
+
+
+def test_rules_without_a_token_are_tried_on_every_url(spark):
+    pages = spark.createDataFrame([(k, f"http://{'x' if k % 3 else 'y'}.com/{k}") for k in range(300)] + [(None, None)], "page_id long, url string")
+    table = urlfilter.rule_table(spark, [urlfilter.pattern_rule("any", "block", r"^y", []), urlfilter.pattern_rule("no host", "block", "^$", [])])
+    got = urlfilter.judge(pages, table).collect()
+    assert len(got) == 301
+    assert all(r.rule == ("no host" if r.page_id is None else None if r.page_id % 3 else "any") for r in got)
+
+
 # registered queries
 
 
