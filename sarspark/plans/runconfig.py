@@ -42,12 +42,14 @@ def utm_of(wkt: str) -> int:
     return (32600 if lat >= 0 else 32700) + int((lon + 180) / 6) + 1
 
 
-def interferogram(reference: str, secondary: str, dem: str, out: str, epsg: int, box: tuple[float, float, float, float], over: dict | None = None) -> dict:
+def interferogram(reference: str, secondary: str, dem: str, out: str, epsg: int, box: tuple[float, float, float, float], over: dict | None = None, base: dict | None = None) -> dict:
+    """The configuration of a pair's interferogram: ``base`` (DEFAULT), the run's own paths and grid, then ``over``."""
     zone_of(epsg)  # raises for codes that are no UTM zone
     own = {
-        "input_file_group": {"reference_rslc_file": reference, "secondary_rslc_file": secondary},
+        "input_file_group": {"reference_rslc_file": reference, "secondary_rslc_file": secondary, "qa_gunw_input_file": f"{out}/product.h5"},
         "dynamic_ancillary_file_group": {"dem_file": dem},
-        "product_path_group": {"product_path": out, "scratch_path": f"{out}/scratch", "sas_output_file": f"{out}/product.h5"},
-        "processing": {"geocode": {"output_epsg": epsg, "top_left": {"x_abs": box[0], "y_abs": box[3]}, "bottom_right": {"x_abs": box[2], "y_abs": box[1]}}},
+        "product_path_group": {"product_path": out, "scratch_path": f"{out}/scratch", "sas_output_file": f"{out}/product.h5", "qa_output_dir": f"{out}/qa_insar"},
+        "logging": {"path": f"{out}/scratch/insar.log"},
+        "processing": {"radar_grid_cubes": {"output_epsg": epsg}, "geocode": {"output_epsg": epsg, "top_left": {"x_abs": box[0], "y_abs": box[3]}, "bottom_right": {"x_abs": box[2], "y_abs": box[1]}}},
     }
-    return merge(merge(DEFAULT, {"runconfig": {"groups": own}}), over or {})
+    return merge(merge(DEFAULT if base is None else base, {"runconfig": {"groups": own}}), over or {})

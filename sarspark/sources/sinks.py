@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import shutil
+import time
+import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
+from http.client import HTTPException
 from pathlib import Path
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import Written
 from .h5 import need
 
 TILE = 512
@@ -45,23 +52,6 @@ def merge_complex(px: DataFrame, name: str) -> DataFrame:
     return px
 
 
-def write_geotiff(px: DataFrame, value: str, folder: str, stem: str, epsg: int, x0: float, y0: float, dx: float, dy: float, tile: int = TILE) -> None:
-    """A GeoTIFF per tile, each written by its own task into a folder all executors share."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rasterio, np = need("rasterio"), need("numpy")
-        r0, c0 = int(g["tile_r"].iloc[0]) * tile, int(g["tile_c"].iloc[0]) * tile
-        z = np.full((tile, tile), np.nan, "float32")
-        z[g["r"] - r0, g["c"] - c0] = g[value]
-        path = f"{folder}/{stem}_{r0}_{c0}.tif"
-        where = rasterio.transform.from_origin(x0 + c0 * dx, y0 + r0 * dy, dx, -dy)
-        with rasterio.open(path, "w", driver="GTiff", height=tile, width=tile, count=1, dtype="float32", crs=f"EPSG:{epsg}", transform=where, nodata=float("nan")) as out:
-            out.write(z, 1)
-        return pd.DataFrame({"path": [path]})
-
-    with_tiles(px, tile).select("tile_r", "tile_c", "r", "c", value).groupBy("tile_r", "tile_c").applyInPandas(run, "path string").collect()  # a path a tile
-
-
 def render_frame(px: DataFrame, value: str, ny: int, nx: int, most: int = 1000) -> pd.DataFrame:
     """A raster decimated by block means to at most ``most`` pixels a side, for a plot."""
     from ..operators.sar import multilook
@@ -70,31 +60,58 @@ def render_frame(px: DataFrame, value: str, ny: int, nx: int, most: int = 1000)
     return multilook(px, [value], step, step, ny, nx).toPandas().pivot(index="lr", columns="lc", values=value)
 
 
-def fetch(plan: DataFrame, get: Callable[[str], bytes], put: Callable[[str, bytes], None], retries: int = 3, parallel: int = 4, check: Callable[[bytes], bool] | None = None) -> DataFrame:
-    """(filename, status) of each row of a download plan, fetched by tasks with the caller's functions.
+def _stream(url: str, out: BinaryIO, timeout: float) -> None:
+    with urllib.request.urlopen(url, timeout=timeout) as body:
+        shutil.copyfileobj(body, out, 1 << 18)
 
-    A body that fails its check is fetched again, as a failed request is, up to ``retries`` times.
+
+def download(
+    plan: DataFrame, folder: str, reprocess: bool = False, parallel: int = 4, retries: int = 3, timeout: float = 60, pause: float = 1.5,
+    valid: Callable[[str], bool] | None = None, stream: Callable[[str, BinaryIO, float], None] = _stream,
+) -> DataFrame:
+    """Fetch each row of a download plan into a folder that all tasks reach; (filename, status) by name.
+
+    A file that is there and not empty is kept (``present``) unless ``reprocess``. A body goes to a file of
+    its own that takes the name once it is whole, so nothing half-written is ever seen; a failed request is
+    tried again after a pause. Of rows marked ``validate`` a file that ``valid`` refuses is removed and
+    fetched once more; then it is ``corrupted`` and gone.
     """
 
+    def one(name: str, url: str) -> bool:
+        for attempt in range(retries):
+            time.sleep(pause if attempt else 0)
+            own = Path(folder) / f".{name}.{uuid.uuid4().hex}"
+            try:
+                with own.open("wb") as out:
+                    stream(url, out, timeout)
+                own.replace(Path(folder) / name)
+                return True
+            except (OSError, HTTPException):
+                continue
+            finally:
+                own.unlink(missing_ok=True)
+        return False
+
+    def status(name: str, url: str, checked: bool) -> str:
+        path = Path(folder) / name
+        there = not reprocess and path.exists() and path.stat().st_size > 0
+        for _ in range(2):
+            if not there and not one(name, url):
+                return "failed"
+            if not checked or valid is None or valid(str(path)):
+                return "present" if there else "done"
+            path.unlink()
+            there = False
+        return "corrupted"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Path(folder).mkdir(parents=True, exist_ok=True)
         for batch in batches:
-            out = []
-            for name, url in zip(batch["filename"], batch["url"]):
-                status = "failed"
-                for _ in range(retries):
-                    try:
-                        body = get(url)
-                    except OSError:
-                        continue
-                    if check is None or check(body):
-                        put(name, body)
-                        status = "done"
-                        break
-                    status = "corrupted"
-                out.append((name, status))
-            yield pd.DataFrame(out, columns=["filename", "status"])
-
-    return plan.select("filename", "url").repartition(parallel).mapInPandas(run, "filename string, status string")
+            found = [(n, status(n, u, c)) for n, u, c in zip(batch["filename"], batch["url"], batch["validate"])]
+            yield pd.DataFrame(found, columns=["filename", "status"])
+
+    found = plan.select("filename", "url", "validate").repartition(parallel).mapInPandas(run, "filename string, status string")
+    return Written(found).df.orderBy("filename")  # written first: a sort samples its input, which would fetch twice
 
 
 def write_netcdf(px: pd.DataFrame, path: str) -> None:

@@ -32,18 +32,6 @@ def test_render_and_missing_libraries(px):
         h5.need("no_such_module")
 
 
-def test_fetch_retries_and_reports(spark):
-    plan = spark.createDataFrame([("a", "http://x/a"), ("b", "http://x/bad")], "filename string, url string")
-
-    def get(url):
-        if url.endswith("bad"):
-            raise OSError
-        return b"body"
-
-    got = {r.filename: r.status for r in sinks.fetch(plan, get, lambda n, b: None).collect()}
-    assert got == {"a": "done", "b": "failed"}
-
-
 def test_filenames(spark):
     names = [
         "NISAR_L2_PR_GSLC_004_077_A_024_4005_DHDH_A_20251103T124615_20251103T124650_X05009_N_F_J_001.h5",
