@@ -87,6 +87,10 @@ def variants(distinct: DataFrame) -> DataFrame:
     return made.select("variant", block.cast("byte").alias("block"), "fp")
 
 
+#: How many fingerprints a task turns into variants, at most about; smaller tables are spread over all cores.
+TASK_PRINTS = 1 << 17
+
+
 def _run_edges(block: int, variant: int, fps: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join all linked fingerprints of one run, as paths of linked groups.
 
@@ -170,7 +174,9 @@ def edges_of(distinct: DataFrame) -> DataFrame:
         if out:
             yield emit()
 
-    met = variants(distinct).repartition("variant", "block").sortWithinPartitions("variant", "block", "fp")
+    # the table of fingerprints is small and so are its scan's tasks' inputs; what a task emits is what counts
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // TASK_PRINTS))
+    met = variants(distinct.repartition(tasks, "fp")).repartition("variant", "block").sortWithinPartitions("variant", "block", "fp")
     return met.mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
