@@ -69,6 +69,24 @@ def test_goldstein_against_numpy(spark, data):
     assert len(got) == z.size and all(abs(complex(x.re, x.im) - want[x.r, x.c]) < 2e-6 for x in got)
 
 
+@pytest.mark.parametrize(("lines", "padded"), [(1000, 1000), (513, 525)])
+def test_antialiased_2d_against_one_transform(spark, tmp_path, lines, padded):
+    """The SQL is written for images of 250 lines; taller ones are held against numpy."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(f"vec_id < {2 * lines}")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    ups = []
+    for k in (0, 1):
+        x = fx.slc(spark, str(tmp_path), k).toPandas()
+        z = np.zeros((lines, 32), complex)
+        z[x.r, x.c] = x.re + 1j * x.im
+        wide, first = np.zeros((2 * padded, 64), complex), padded - padded // 2
+        wide[first : first + padded, 16:48] = np.fft.fftshift(np.fft.fft2(z, (padded, 32)))
+        ups.append(4 * np.fft.ifft2(np.fft.ifftshift(wide))[: 2 * lines])
+    want = (ups[0] * ups[1].conj()).reshape(lines, 2, 32, 2).mean((1, 3))
+    got = QUERIES["interferogram_aa_2d"](spark, str(tmp_path)).collect()
+    assert len({(x.r, x.c) for x in got}) == len(got) == want.size and all(abs(complex(x.re, x.im) - want[x.r, x.c]) < 1e-6 for x in got)
+
+
 def slow_phases(samples):
     """EMI of (images, pixels) step by step."""
     c = np.array([[(a * b.conj()).sum() / math.sqrt((np.abs(a) ** 2).sum() * (np.abs(b) ** 2).sum()) for b in samples] for a in samples])
